@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import exact_dedup
+from claimweave.llm import bpe, exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_byte_bpe": bpe.query,
         "op3_exact_dedup": exact_dedup.query,
     }
 
