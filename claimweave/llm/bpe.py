@@ -32,8 +32,8 @@ from claimweave.llm.tables import table
 
 #: Code points that a task handles at a time, unless one text is longer.
 CHUNK_CHARS = 1 << 20
-#: Pieces that a worker remembers.
-CACHE_PIECES = 400_000
+#: Pieces in each of the two generations that a worker remembers.
+CACHE_PIECES = 500_000
 #: Pieces longer than this merge with a heap.
 HEAP_BYTES = 96
 
@@ -161,24 +161,29 @@ def boundaries(text: str, starts: np.ndarray) -> np.ndarray:
 
 
 class Merges(dict):
-    """Maps a piece (str) to its ids as packed little-endian unsigned 32-bit integers; a bounded cache."""
+    """Maps a piece (str) to its ids as packed little-endian unsigned 32-bit integers; a bounded cache of two generations."""
 
     def __init__(self, path: str):
         super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.older: dict[str, bytes] = {}
         self.packed = {piece: rank.to_bytes(4, "little") for piece, rank in self.ranks.items()}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "replace")
-        out = self.packed.get(data) or b"".join(map(self.packed.__getitem__, self.merge(data)))
+        out = self.older.get(piece)
+        if out is None:
+            data = piece.encode("utf-8", "replace")
+            out = self.packed.get(data) or b"".join(map(self.packed.__getitem__, self.merge(data)))
+            if len(data) > HEAP_BYTES:
+                return out
         if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
             self.clear()
-        if len(data) <= HEAP_BYTES:
-            self[piece] = out
+        self[piece] = out
         return out
 
     def merge(self, data: bytes) -> list[bytes]:
