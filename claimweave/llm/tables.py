@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.session import importable_by_workers
+
 #: White space that the text contracts name, as a character class for Java's regular expressions.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``sf_dir``; any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable_by_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def whole_text(column: str = "text") -> Column:
