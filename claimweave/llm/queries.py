@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, exact_dedup, toxicity
+from claimweave.llm import bpe, exact_dedup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": bpe.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op4_quality": quality.query,
         "op7_toxicity": toxicity.query,
     }
 
