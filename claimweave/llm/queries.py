@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, exact_dedup, quality, toxicity
+from claimweave.llm import bpe, exact_dedup, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": bpe.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_quality": quality.query,
+        "op5_sharding": sharding.query,
+        "op6_mixing": mixing.query,
         "op7_toxicity": toxicity.query,
     }
 
@@ -21,4 +23,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.ORACLE,
+        "op6_mixing": mixing.ORACLE,
     }
