@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, exact_dedup, mixing, quality, sharding, toxicity
+from claimweave.llm import bpe, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.query,
         "op6_mixing": mixing.query,
         "op7_toxicity": toxicity.query,
+        "op10_near_dedup": near_dedup.query,
     }
 
 
