@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, exact_dedup, mixing, near_dedup, quality, sharding, toxicity
+from claimweave.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.query,
         "op2_byte_bpe": bpe.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_quality": quality.query,
