@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, exact_dedup, fingerprint, mixing, near_dedup, pii, quality, sharding, toxicity
+from claimweave.llm import bpe, exact_dedup, fingerprint, html_text, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": sharding.query,
         "op6_mixing": mixing.query,
         "op7_toxicity": toxicity.query,
+        "op8_html_text": html_text.query,
         "op9_fingerprint": fingerprint.query,
         "op10_near_dedup": near_dedup.query,
     }
