@@ -92,7 +92,7 @@ def relative_difference(a: Column, b: Column) -> Column:
 def clamp01(value: Column, fallback: float | None) -> Column:
     """A number in [0, 1] from text; ``fallback`` if it is none."""
     parsed = value.try_cast("double")
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), parsed)), F.lit(fallback).cast("double"))
+    return F.when(parsed.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), parsed))).otherwise(F.lit(fallback).cast("double"))
 
 
 def source_reliability(corroborated: Column, superseded: Column) -> Column:

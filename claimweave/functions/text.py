@@ -82,7 +82,7 @@ def format_literal(value: Column, currency: Column, as_of: Column) -> Column:
 
 def date_of(text: Column) -> Column:
     """RFC 822, else ISO, else a leading date; '' if none."""
-    rfc = F.to_date(F.try_to_timestamp(text, F.lit("EEE, d MMM yyyy HH:mm:ss z")))
+    rfc = F.to_date(F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z")))
     return F.coalesce(F.date_format(rfc, "yyyy-MM-dd"), F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
 
 
