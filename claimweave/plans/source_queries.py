@@ -1,0 +1,139 @@
+"""Sources: payloads that Spark derives from the tables, parsed again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from claimweave.functions import text
+from claimweave.plans.registry import query
+from claimweave.sources import payloads
+from claimweave.sources.claimgraph import ClaimGraph
+
+
+def escaped(column):  # noqa: ANN001, ANN201
+    return F.replace(F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def feeds(g: ClaimGraph) -> DataFrame:
+    """A feed for each document: an RSS item, an Atom entry, and an item without link."""
+    d = g.table("documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    title = escaped(F.trim(F.regexp_replace(F.left("text", F.lit(60)), r"[\x00-\x20\x7f-\xa0]+", " ")))
+    xml = F.concat(
+        F.lit("<rss><channel><item><title>T "), title, F.lit("</title><link>https://e.example.com/a/"), F.col("doc_id").cast("string"), F.lit("</link><description>short</description><content:encoded><![CDATA[<p>x & y</p>]]></content:encoded></item>"),
+        F.lit('<entry><title>Second</title><link rel="alternate" href="https://e.example.com/b/'), F.col("doc_id").cast("string"), F.lit('"/><updated>2024-01-02T00:00:00Z</updated><summary>s &amp;amp; t</summary></entry><item><title>No link</title></item></channel></rss>'),
+    )
+    return d.select("doc_id", "source", xml.alias("payload"))
+
+
+_TITLE = "trim(regexp_replace(left(coalesce(text, ''), 60), '[\\x00-\\x20\\x7f-\\x{a0}]+', ' ', 'g'))"
+
+
+@query("src_rss_items", f"SELECT doc_id, rtrim('T ' || {_TITLE}) AS title, 'https://e.example.com/a/' || doc_id AS link, '<p>x & y</p>' AS content FROM documents UNION ALL SELECT doc_id, 'Second', 'https://e.example.com/b/' || doc_id, 's &amp; t' FROM documents")
+def _(g: ClaimGraph) -> DataFrame:
+    return payloads.feed_items(feeds(g), "payload", "doc_id").select("doc_id", "title", "link", "content")
+
+
+@query("src_rss_poll", "SELECT doc_id, 'https://e.example.com/b/' || doc_id AS link, true AS thin FROM documents WHERE doc_id % 3 <> 0")
+def _(g: ClaimGraph) -> DataFrame:
+    """New items only, marked thin where the body is short."""
+    items = payloads.feed_items(feeds(g), "payload", "doc_id").filter("date is not null")
+    known = g.table("documents").filter("doc_id % 3 = 0").select(F.concat(F.lit("https://e.example.com/b/"), "doc_id").alias("link"))
+    return payloads.unseen(items, known, "link").select("doc_id", "link", (F.length(F.coalesce("content", F.lit(""))) < payloads.THIN_CHARS).alias("thin"))
+
+
+@query("src_rss_stale", "SELECT source_id, strftime(max(fetched_at), '%Y-%m-%d') AS newest FROM event GROUP BY 1 HAVING max(fetched_at) < TIMESTAMP '2002-01-01' - INTERVAL 45 DAY")
+def _(g: ClaimGraph) -> DataFrame:
+    """Sources whose newest item is older than 45 days."""
+    newest = g.event.groupBy("source_id").agg(F.max("fetched_at").alias("n")).filter(F.col("n") < F.lit("2002-01-01 00:00:00").cast("timestamp_ntz") - F.expr("interval 45 days"))
+    return newest.select("source_id", F.date_format("n", "yyyy-MM-dd").alias("newest"))
+
+
+@query("src_podcast_items", "SELECT o_orderkey, 'Episode ' || o_orderkey AS title, 'https://cdn.example.com/' || o_orderkey || '.mp3' AS enclosure FROM orders WHERE o_orderkey % 4 <> 0")
+def _(g: ClaimGraph) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    xml = F.concat(F.lit("<item><title>Episode "), key, F.lit("</title><link>https://p.example.com</link>"), F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit('<enclosure type="audio/mpeg" url="https://cdn.example.com/'), key, F.lit('.mp3"/>'))).otherwise(""), F.lit("</item>"))
+    return payloads.feed_items(g.table("orders").select("o_orderkey", xml.alias("payload")), "payload", "o_orderkey").filter("enclosure is not null").select("o_orderkey", "title", "enclosure")
+
+
+@query("src_edgar", "SELECT c_custkey, a.i AS nth, c_custkey || '-' || (2 * a.i) AS accession, '2024-01-0' || (2 * a.i + 1) AS filed FROM customer, (VALUES (0), (1)) a(i)")
+def _(g: ClaimGraph) -> DataFrame:
+    """Filings in parallel arrays, of which the first two of one form are taken for each company."""
+    number = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.col("c_custkey").cast("string"), F.lit("-"), i.cast("string")))
+    form = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when(i % 2 == 0, "8-K").otherwise("10-Q"))
+    filed = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("2024-01-0"), i.cast("string")))
+    body = F.to_json(F.struct(F.struct(number.alias("accessionNumber"), form.alias("form"), filed.alias("filingDate"), F.transform(filed, lambda x: F.lit("2.02")).alias("items")).alias("recent")))
+    return payloads.filings(g.table("customer").select("c_custkey", body.alias("payload")), "payload", "8-K", 2, "c_custkey").select("c_custkey", F.col("at").alias("nth"), "accession", "filed")
+
+
+@query("src_caption_text", "SELECT item_id, trim(regexp_replace(text || ' end', '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS caption FROM benchmark")
+def _(g: ClaimGraph) -> DataFrame:
+    segs = F.transform(F.split("text", " "), lambda w: F.struct(F.concat(w, F.lit("  ")).alias("utf8")))
+    body = F.to_json(F.struct(F.array(F.struct(segs.alias("segs")), F.struct(F.array(F.struct(F.lit("end\n").alias("utf8"))).alias("segs"))).alias("events")))
+    return g.table("benchmark").select("item_id", payloads.caption_text(body).alias("caption"))
+
+
+@query("src_x_poll", "SELECT 'u' || user_id AS account, string_agg('post ' || event_id || ' at https://long.example.com/' || event_id, chr(10) || chr(10) ORDER BY event_id) AS document, CAST(max(event_id) AS VARCHAR) AS cursor, count(*) AS posts FROM events WHERE event_id > 5000 GROUP BY 1")
+def _(g: ClaimGraph) -> DataFrame:
+    """Posts after the cursor, one document for each account, short links expanded."""
+    e = F.col("event_id").cast("string")
+    urls = F.array(F.struct(F.concat(F.lit("https://t.example.com/"), e).alias("short"), F.concat(F.lit("https://long.example.com/"), e).alias("expanded")))
+    one = F.array(F.struct(e.alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("account"), F.concat(F.lit("post "), e, F.lit(" at https://t.example.com/"), e).alias("text"), urls.alias("urls")))
+    return payloads.posts_by_account(g.table("events").select(F.to_json(one).alias("payload")), "payload", F.lit("5000"))
+
+
+@query("src_bridge", "SELECT doc_id, 'Doc ' || doc_id AS title, length(coalesce(text, '')) AS chars, source AS author FROM documents")
+def _(g: ClaimGraph) -> DataFrame:
+    item = F.struct(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("https://e.example.com").alias("url"), F.lit("2024-01-01").alias("date_published"), F.coalesce("text", F.lit("")).alias("content_text"), F.array(F.struct(F.col("source").alias("name"))).alias("authors"))
+    made = g.table("documents").select("doc_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
+    return payloads.bridge_items(made, "payload", "doc_id").select("doc_id", "title", F.length("content").cast("long").alias("chars"), "author")
+
+
+@query("src_paywall_preview", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> '')) < 160 ELSE length(coalesce(text, '')) < 1500 END AS preview FROM documents")
+def _(g: ClaimGraph) -> DataFrame:
+    count = F.when(F.col("doc_id") % 2 == 0, 200)
+    return g.table("documents").select("doc_id", payloads.is_preview(F.coalesce("text", F.lit("")), count).alias("preview"))
+
+
+@query("src_article", r"SELECT page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) > 0 AS has_title, contains(html, '<article>') AS has_body FROM pages")
+def _(g: ClaimGraph) -> DataFrame:
+    a = payloads.article(F.col("html"))
+    return g.table("pages").select("page_id", a.alias("a")).select("page_id", (F.length("a.title") > 0).alias("has_title"), (F.length("a.body") >= 0).alias("has_body"))
+
+
+@query("src_is_article")
+def _(g: ClaimGraph) -> DataFrame:
+    """Pages that are articles, with the length of their body; tests have golden pages."""
+    return g.table("pages").select("page_id", payloads.is_article(F.col("html")).alias("article"), F.length(payloads.article(F.col("html"))["body"]).alias("chars"))
+
+
+@query("src_router", "SELECT user_id, CASE user_id % 6 WHEN 0 THEN 'youtube_video' WHEN 1 THEN 'x_post' WHEN 2 THEN 'substack_post' WHEN 3 THEN 'feed' WHEN 4 THEN 'article' ELSE 'invalid' END AS kind FROM (SELECT DISTINCT user_id FROM events)")
+def _(g: ClaimGraph) -> DataFrame:
+    u, k = F.col("user_id").cast("string"), F.col("user_id") % 6
+    url = F.when(k == 0, F.concat(F.lit("youtube.com/watch?v="), u)).when(k == 1, F.concat(F.lit("https://X.com/a/status/"), u, F.lit("?utm_source=z"))).when(k == 2, F.concat(F.lit("http://n.substack.com/p/"), u, F.lit("/"))).when(k == 3, F.concat(F.lit("https://e.example.com/"), u, F.lit("/feed/"))).when(k == 4, F.concat(F.lit("https://e.example.com/"), u)).otherwise(F.concat(F.lit("ftp://"), u))
+    return g.table("events").select("user_id").distinct().select("user_id", payloads.route(text.normalize_url(url)).alias("kind"))
+
+
+@query("src_gleif", "SELECT s_suppkey, s_name AS name, false AS is_alt FROM supplier UNION ALL SELECT s_suppkey, 'Alt ' || s_name, true FROM supplier WHERE s_suppkey % 2 = 0")
+def _(g: ClaimGraph) -> DataFrame:
+    wide = g.table("supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 2 == 0, F.array(F.concat(F.lit("Alt "), "s_name"))).alias("others"))
+    return payloads.long_names(wide, "s_suppkey", "s_name", "others")
+
+
+@query("src_seed", "SELECT c_nationkey AS cik, min(c_custkey) AS first_customer FROM customer GROUP BY 1")
+def _(g: ClaimGraph) -> DataFrame:
+    """The first row of each key wins."""
+    return g.table("customer").groupBy(F.col("c_nationkey").alias("cik")).agg(F.min("c_custkey").alias("first_customer"))
+
+
+@query("src_listing_newest", "SELECT source_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC NULLS LAST, event_id) AS n FROM event) WHERE n <= 5")
+def _(g: ClaimGraph) -> DataFrame:
+    return payloads.newest(g.event, "source_id", "published_at", "event_id", 5).select("source_id", "event_id")
+
+
+@query("src_link_outcomes", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'failed' WHEN url IN (SELECT url FROM pages GROUP BY 1 HAVING count(*) > 1) THEN 'duplicate' ELSE 'done' END AS outcome FROM pages")
+def _(g: ClaimGraph) -> DataFrame:
+    """Outcome of queued links; URLs that occur more than once are counted, not compared in pairs."""
+    pages = g.table("pages").select("page_id", "url")
+    often = pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return pages.join(often, "url", "left").select("page_id", F.when(F.col("page_id") % 4 == 3, "failed").when(F.col("n").isNotNull(), "duplicate").otherwise("done").alias("outcome"))

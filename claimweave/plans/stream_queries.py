@@ -1,0 +1,40 @@
+"""Streams drained over the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from claimweave.plans.registry import query
+from claimweave.sources.claimgraph import ClaimGraph
+from claimweave.streaming import streams
+
+
+@query("stream_window_counts", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(g: ClaimGraph) -> DataFrame:
+    out = streams.drain(streams.window_counts(streams.table_stream(g.spark, g.sf_dir, "events")), g.spark, "complete")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_sliding_counts", "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT unnest([b, b - INTERVAL 6 HOUR]) AS s FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS b FROM events)) GROUP BY 1")
+def _(g: ClaimGraph) -> DataFrame:
+    out = streams.drain(streams.sliding_counts(streams.table_stream(g.spark, g.sf_dir, "events")), g.spark, "complete")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_sessions", "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k")
+def _(g: ClaimGraph) -> DataFrame:
+    out = streams.drain(streams.sessions(streams.table_stream(g.spark, g.sf_dir, "events")), g.spark, "complete")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_first_seen", "SELECT DISTINCT sha256(coalesce(text, '')) AS hash FROM documents")
+def _(g: ClaimGraph) -> DataFrame:
+    return streams.drain(streams.first_seen(streams.table_stream(g.spark, g.sf_dir, "documents")), g.spark, "append")
+
+
+@query("stream_triage", "SELECT event_id, CASE WHEN event_type = 'error' THEN 0.7 ELSE 0.3 END::DOUBLE AS materiality, event_type = 'error' AND 'T' || user_id IN (SELECT ticker FROM watchlist WHERE active) AS alert FROM events")
+def _(g: ClaimGraph) -> DataFrame:
+    """Events of a stream with titles by type, against the static watchlist."""
+    arriving = streams.table_stream(g.spark, g.sf_dir, "events").select("event_id", F.lit("rss").alias("connector"), F.lit(None).cast("string").alias("form"), F.lit(None).cast("string").alias("items"), F.when(F.col("event_type") == "error", "Plant investigation").otherwise("Note").alias("title"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("ticker"))
+    return streams.drain(streams.triage(arriving, g.watchlist), g.spark, "append")
