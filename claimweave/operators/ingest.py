@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimweave.functions import score, text
 
@@ -25,7 +26,7 @@ def exact_duplicates(events: DataFrame) -> DataFrame:
     return hashed.join(first, "hash").withColumn("status", F.when(F.col("event_id") == F.col("lineage_id"), "pending").otherwise("duplicate"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
     """Signed 64-bit simhash of lower-cased three-word shingles, repeated ones counted; 0 without words."""
     import numpy as np
