@@ -173,7 +173,7 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.source.join(counted, "source_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long")).filter((F.col("n") > 0) | (F.col("status") != "dropped")).select("source_id", "n")
 
 
-_ENDS = "--more\nends AS (SELECT DISTINCT claim_id, event_id, status, e FROM (SELECT claim_id, event_id, status, subject_entity AS e FROM claim UNION ALL SELECT claim_id, event_id, status, object_entity FROM claim WHERE object_entity IS NOT NULL)) "
+_ENDS = "--more\nends AS (SELECT claim_id, event_id, status, observed_at, unnest(list_distinct([subject_entity, object_entity])) AS e FROM claim) "
 
 
 @query("agg_entity_claims", _ENDS + "SELECT entity_id, name, count(ends.claim_id) AS claims FROM entity LEFT JOIN ends ON e = entity_id WHERE entity_id NOT IN (SELECT a FROM same_as) GROUP BY 1, 2 ORDER BY claims DESC, entity_id LIMIT 100")
@@ -203,7 +203,7 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.event.filter(F.col("fetched_at") >= ts(SINCE)).groupBy("connector").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("digest_entities", _ENDS + f", n AS (SELECT ends.e, count(*) AS n FROM ends JOIN claim c USING (claim_id) WHERE c.observed_at >= TIMESTAMP '{SINCE}' GROUP BY 1), w AS (SELECT DISTINCT entity_id FROM entity x JOIN watchlist y ON x.ticker = y.ticker WHERE active) SELECT n.e AS entity, n, n.e IN (SELECT entity_id FROM w) AS watched FROM n ORDER BY watched DESC, n DESC, entity LIMIT 8")
+@query("digest_entities", _ENDS + f", n AS (SELECT ends.e, count(*) AS n FROM ends WHERE observed_at >= TIMESTAMP '{SINCE}' GROUP BY 1), w AS (SELECT DISTINCT entity_id FROM entity x JOIN watchlist y ON x.ticker = y.ticker WHERE active) SELECT n.e AS entity, n, n.e IN (SELECT entity_id FROM w) AS watched FROM n ORDER BY watched DESC, n DESC, entity LIMIT 8")
 def _(g: ClaimGraph) -> DataFrame:
     recent = graph.ends_of(g.claim.filter(F.col("observed_at") >= ts(SINCE))).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     watched = discovery.watched_entities(g.entity, g.watchlist).select(F.col("entity_id").alias("entity"), F.lit(True).alias("_w"))
