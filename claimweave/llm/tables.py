@@ -32,3 +32,8 @@ def persist_cut(frame: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or f"{frame.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return frame.checkpoint()
+
+
+def has_repeated_ids(frame: DataFrame, id_col: str) -> bool:
+    """Whether any id, null included, occurs twice; reads that column only."""
+    return not frame.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()

@@ -1,4 +1,7 @@
+import hashlib
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from math import ceil, floor
 
 import pytest
@@ -39,6 +42,22 @@ def test_shards_match_the_mixture(docs):
             assert abs(mixed[shard][source] - total / 8) <= 3
 
 
+def test_shards_against_brute_force(spark):
+    """The order of fractional ranks, worked out in plain Python with exact fractions."""
+    rows = [(i, f"t{i} é" if i % 5 else None, ["a", "b", "b", "c", None][i % 5] if i % 3 else "a", 0, 0) for i in range(700)]
+    by = defaultdict(list)
+    for i, text, source, *_ in rows:
+        by["-" if source is None else "=" + source].append((hashlib.md5(f"{sharding.SEED}|={i}".encode()).hexdigest(), i, text or ""))
+    order = sorted((Fraction(2 * k + 1, 2 * len(own)), source, k, i, text) for source, own in by.items() for k, (_, i, text) in enumerate(sorted(own)))
+    want, slots = [], Counter()
+    for at, (_, _, _, i, text) in enumerate(order):
+        shard = at * 8 // len(order)
+        want.append((i, len(text.encode()) + 1, zlib.crc32(text.encode()), shard, slots[shard]))
+        slots[shard] += 1
+    out = sharding.assign(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, out)) == sorted(want)
+
+
 def test_shards_of_nothing_and_of_few(spark, docs):
     assert sharding.assign(docs.limit(0)).collect() == []
     few = sharding.assign(spark.createDataFrame([(1, "a", "s", 0, 0), (2, "b", "s", 0, 0)], SCHEMA)).collect()
