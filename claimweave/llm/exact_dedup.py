@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.tables import SPACE_CLASS, table, whole_text
+from claimweave.llm.tables import SPACE_CLASS, has_repeated_ids, table, whole_text
 
 #: Code points of the normalised text that the second refinement hashes.
 PREFIX_CHARS = 64
@@ -70,14 +70,17 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each group of equal texts, with the columns of ``docs``.
 
-    The texts are shuffled once, by id and hash, which no group makes hot.
+    The texts are shuffled once, by id and hash, which no group makes hot (and
+    once more where ids repeat, to keep one of repeated rows).
     """
     out = classify(docs, id_col, text_col)
     gone = out.filter(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("n_chars").alias("_gone_chars"))
     keyed = docs.withColumns({"_row_id": F.col(id_col), "_row_sha": F.sha2(normalised(whole_text(text_col)), 256), "_row_chars": F.length(whole_text(text_col)).cast("long")})
     on = keyed["_row_id"].eqNullSafe(gone["_gone_id"]) & (keyed["_row_sha"] == gone["_gone_sha"]) & (keyed["_row_chars"] == gone["_gone_chars"])
     kept = keyed.join(gone, on, "left_anti")
-    return kept.dropDuplicates(["_row_id", "_row_sha", "_row_chars"]).select(*docs.columns)
+    if has_repeated_ids(docs, id_col):  # only then can a kept row be repeated
+        kept = kept.dropDuplicates(["_row_id", "_row_sha", "_row_chars"])
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
