@@ -12,7 +12,7 @@ from claimweave.sources.claimgraph import VIEWS, ClaimGraph
 _QUERIES: dict[str, Callable[[ClaimGraph], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: The modules that register queries.
-MODULES = ("graph_queries", "read_queries", "ingest_queries", "function_queries", "source_queries", "stream_queries")
+MODULES = ("graph_queries", "read_queries", "ingest_queries", "function_queries", "source_queries", "stream_queries", "page_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
