@@ -382,7 +382,8 @@ def fit(sentences: list[str], pages: int = GENERATED) -> boosting.Trees:
 def sample_sentences(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> list[str]:
     """Sentences of a bounded sample of pages, a thousand at most; made-up words if there are none."""
     out: list[str] = []
-    for row in first_by_hash(pages.select(id_col, html_col), SAMPLE, id_col).collect():
+    ids = first_by_hash(pages.select(id_col), SAMPLE, id_col).distinct()
+    for row in pages.join(F.broadcast(ids), id_col, "left_semi").select(html_col).collect():
         for node in nodes_of(parse(row[html_col] or "")):
             if node.tag == "p":
                 out += [s.strip() + "." for s in "".join(p for p in node.pieces if isinstance(p, str)).split(".")[:6] if s.strip()]
