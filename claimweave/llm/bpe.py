@@ -33,7 +33,7 @@ from claimweave.llm.tables import table
 #: Code points that a task handles at a time, unless one text is longer.
 CHUNK_CHARS = 1 << 20
 #: Pieces in each of the two generations that a worker remembers.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 #: Pieces longer than this merge with a heap.
 HEAP_BYTES = 96
 

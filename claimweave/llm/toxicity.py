@@ -67,7 +67,7 @@ class Model:
         self.digest = hashlib.sha256(repr((sorted(weights.items()), bias)).encode()).hexdigest()
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def features(word: str) -> tuple[int, ...]:
     """Hashed features of a word as it stands in a text."""
     word = word.strip(_STRIP).lower()
@@ -213,7 +213,7 @@ class Shares(dict):
 
     def __missing__(self, word: str) -> float:
         out = sum(self.weights.get(f, 0.0) for f in features.__wrapped__(word))
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         if len(word) < 64:
             self[word] = out
