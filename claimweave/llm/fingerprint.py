@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import compress, count
 from zlib import crc32
 
 import numpy as np
@@ -42,19 +43,32 @@ PARTS, CELLS_EACH = 3, 0.75
 _CELL = np.dtype([("count", "<i4"), ("digest", "<u8"), ("check", "<u4")])
 
 
+class _Ends(dict):
+    """Whether a word may end a paragraph: one in two that end sentences, one in 32 of the others; bounded."""
+
+    def __missing__(self, word: str) -> bool:
+        out = crc32(word.encode("utf-8", "replace")) % (2 if word[-1] in ".!?" else 32) == 0
+        if len(self) >= 200_000:
+            self.clear()
+        if len(word) < 64:
+            self[word] = out
+        return out
+
+
+_ends = _Ends()
+
+
 def paragraphs(text: str) -> set[str]:
     """The distinct paragraphs of a text, with white space squeezed."""
     out: set[str] = set()
     for line in text.split("\n"):
-        words, run = line.split(), []
-        for word in words:
-            run.append(word)
-            # A sentence ends a paragraph for one in two last words, any other word for one in 32.
-            if crc32(word.encode("utf-8", "replace")) % (2 if word[-1] in ".!?" else 32) == 0:
-                out.add(" ".join(run))
-                run = []
-        if run:
-            out.add(" ".join(run))
+        words = line.split()
+        start = 0
+        for last in compress(count(1), map(_ends.__getitem__, words)):
+            out.add(" ".join(words[start:last]))
+            start = last
+        if start < len(words):
+            out.add(" ".join(words[start:]))
     return out
 
 
@@ -67,13 +81,18 @@ def part_cells(n: int) -> int:
     return 1 << max(2, int(np.ceil(n * CELLS_EACH) - 1).bit_length()) if n else 4
 
 
+# Odd multipliers that spread digests over checks and over the cells of each part.
+_CHECK = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+
 def _check(digest: int) -> int:
-    return (digest * 0x9E3779B97F4A7C15 >> 32) & 0xFFFFFFFF
+    return (digest * int(_CHECK) >> 32) & 0xFFFFFFFF
 
 
 def _at(digest: int, part: int) -> int:
     """Where a digest goes in a part, before it is cut to the part's size."""
-    return ((digest ^ (digest >> 29)) * (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)[part] & 0xFFFFFFFFFFFFFFFF) >> 24
+    return ((digest ^ (digest >> 29)) * _MIX[part] & 0xFFFFFFFFFFFFFFFF) >> 24
 
 
 def sketch(keys: list[int], size: int) -> np.ndarray:
@@ -81,9 +100,10 @@ def sketch(keys: list[int], size: int) -> np.ndarray:
     cells = np.zeros((PARTS, size), dtype=_CELL)
     if keys:
         digest = np.array(keys, dtype=np.uint64)
-        check = np.array([_check(k) for k in keys], dtype=np.uint32)
+        check = (digest * _CHECK >> np.uint64(32)).astype(np.uint32)
+        mixed = digest ^ (digest >> np.uint64(29))
         for part in range(PARTS):
-            at = np.array([_at(k, part) & (size - 1) for k in keys])
+            at = ((mixed * np.uint64(_MIX[part]) >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)
             np.add.at(cells["count"][part], at, 1)
             np.bitwise_xor.at(cells["digest"][part], at, digest)
             np.bitwise_xor.at(cells["check"][part], at, check)
@@ -106,25 +126,25 @@ def difference(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]] | No
     """Digests only in a's and only in b's sketch, by subtracting and peeling; None if peeling stops early."""
     size = min(a.shape[1], b.shape[1])
     a, b = fold(a, size), fold(b, size)
-    count = (a["count"] - b["count"]).tolist()
+    counts = (a["count"] - b["count"]).tolist()
     digest = (a["digest"] ^ b["digest"]).tolist()
     check = (a["check"] ^ b["check"]).tolist()
     only: tuple[list[int], list[int]] = ([], [])
-    pure = [(p, i) for p in range(PARTS) for i in range(size) if count[p][i] in (1, -1)]
+    pure = [(p, i) for p in range(PARTS) for i in range(size) if counts[p][i] in (1, -1)]
     while pure:
         p, i = pure.pop()
-        sign, key = count[p][i], digest[p][i]
+        sign, key = counts[p][i], digest[p][i]
         if sign not in (1, -1) or check[p][i] != _check(key):
             continue
         only[sign < 0].append(key)
         for q in range(PARTS):
             j = _at(key, q) & (size - 1)
-            count[q][j] -= sign
+            counts[q][j] -= sign
             digest[q][j] ^= key
             check[q][j] ^= _check(key)
-            if count[q][j] in (1, -1):
+            if counts[q][j] in (1, -1):
                 pure.append((q, j))
-    empty = not any(map(any, count)) and not any(map(any, digest))
+    empty = not any(map(any, counts)) and not any(map(any, digest))
     return only if empty else None
 
 
@@ -167,7 +187,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_paragraphs and fingerprint of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
             all_of = [_Version(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v.keys) for v in all_of], pa.int64()), pa.array([as_string(v.cells) for v in all_of], pa.string())], [id_col, "n_paragraphs", "fingerprint"])
 
@@ -206,7 +226,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, object, _Version] | None = None
-        for batch in batches:
+        for batch in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
             out: list[tuple] = []
             for doc, text, where, last in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 now = _Version(text)
