@@ -2,24 +2,26 @@
 
 The base finds e-mail addresses, IP addresses, card numbers and phone
 numbers. The method then estimates from the whole corpus how strongly
-nearby terms reveal such an entity. For an entity e and a term t,
+the terms of a document reveal such an entity. For an entity e and a term t,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(N * n_te / (n_t * n_e)) / log(N / n_e)
 
 where N counts documents, n_e and n_t those with the entity and the term,
-and n_te those with t in a context of e (``WINDOW`` words to either side).
+and n_te those with both, wherever in the document each stands.
 At 1 a term occurs with that entity only and so gives it away. Terms over
 ``REMOVE`` are removed and those over ``GENERALISE`` are replaced by their
-shape; terms seen in fewer than ``SUPPORT`` distinct contexts of the entity
+shape, at each of their places in every document that has the entity;
+terms seen with the entity in fewer than ``SUPPORT`` distinct texts
 are no evidence. Base spans always stay and are replaced by their kind.
 
-Everything is built from SQL functions. A text is read twice: once for
-spans and contexts, once to count terms. Only narrow rows are shuffled, and
-all counts are aggregated before. Patterns with possessive quantifiers
-never backtrack, so long runs cost linear time.
+Everything is built from SQL functions. A text is read for spans, to count
+terms and, only where an entity is in ``SUPPORT`` texts, for the terms beside
+it; of copies one is shuffled. All counts are aggregated before they are
+shuffled. Patterns with possessive quantifiers never backtrack, so long runs
+cost linear time.
 
 Defined cases: a null or empty text has no spans. Copies of a text are one
-context, though each is a document. Rows may repeat, and ids may be null: spans depend on the text and
+text as evidence, though each is a document. Rows may repeat, and ids may be null: spans depend on the text and
 the corpus alone.
 """
 
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.tables import persist_cut, table, whole_text
 
-#: Words to either side of an entity, distinct contexts that count as evidence, and thresholds of disclosure.
-WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.8, 0.95
+#: Distinct texts that count as evidence, and thresholds of disclosure.
+SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: Letters of a term, at least.
 LEAST_LETTERS = 4
 
@@ -99,76 +101,76 @@ def listed(spans: Column) -> Column:
 
 def _words(part: Column) -> Column:
     """Runs of letters, lower-cased."""
-    return F.regexp_extract_all(F.lower(part), F.lit(r"\p{L}++"), F.lit(0))
+    return F.transform(F.regexp_extract_all(part, F.lit(r"\p{L}++"), F.lit(0)), F.lower)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For each span: its entity, and the words with their places at most WINDOW before and after it.
+def _entities(spans: Column) -> Column:
+    """The distinct entities of the spans, however they are written."""
 
-    Only a stretch of text next to the span is looked at, wide enough for
-    the words; a word that the stretch cuts is left out.
-    """
-    reach = WINDOW * 24
+    def one(s: Column) -> Column:
+        value = F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], r"[\x20().-]", ""))
+        return F.xxhash64(s["kind"], value)
 
-    def words_of(part: Column, begin: Column) -> Column:
-        gaps = F.split(part, r"\p{L}++", -1)
-        found = F.regexp_extract_all(part, F.lit(r"\p{L}++"), F.lit(0))
-        start = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
-        pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("v"))
+    return F.array_distinct(F.transform(spans, one))
 
-        def step(acc: Column, p: Column) -> Column:
-            a = acc["at"] + F.length(p["g"])
-            b = a + F.length(p["v"])
-            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), F.lower(p["v"]).alias("term")))).alias("out"))
 
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def _terms(text: Column) -> Column:
+    """The distinct words of a text that are long enough to be terms."""
+    return F.filter(F.array_distinct(_words(text)), lambda w: F.length(w) >= LEAST_LETTERS)
 
-    def one(s: Column) -> Column:
-        left = F.greatest(s["start"] - reach, F.lit(0))
-        before = words_of(text.substr(left + 1, s["start"] - left), left)
-        after = words_of(text.substr(s["end"] + 1, F.lit(reach)), s["end"])
-        before = F.filter(before, lambda w: (w["start"] > left) | (left == 0))
-        after = F.filter(after, lambda w: w["end"] < s["end"] + reach)
-        near = F.concat(F.slice(before, F.greatest(F.size(before) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW)), F.slice(after, F.lit(1), F.lit(WINDOW)))
-        near = F.filter(near, lambda w: F.length(w["term"]) >= LEAST_LETTERS)
-        value = F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], r"[\x20().-]", ""))
-        return F.struct(F.xxhash64(s["kind"], value).alias("entity"), F.xxhash64(F.transform(near, lambda w: w["term"])).alias("context"), near.alias("words"))
 
-    return F.transform(spans, one)
+def _term_places(text: Column, scores: Column) -> Column:
+    """Array of (start, order, kind, end, value) of each occurrence of the terms in the map ``scores``."""
+    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>")
+    pairs = F.arrays_zip(F.split(text, r"\p{L}++", -1).alias("g"), F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0)).alias("v"))
+
+    def step(acc: Column, p: Column) -> Column:
+        # The last gap has no word after it.
+        a = acc["at"] + F.length(p["g"])
+        b = a + F.coalesce(F.length(p["v"]), F.lit(0))
+        term = F.lower(p["v"])
+        score = F.element_at(scores, F.coalesce(term, F.lit("")))
+        kind = F.when(score >= REMOVE, "removed").otherwise("generalised")
+        one = F.struct(a.alias("start"), F.lit(len(PATTERNS)).alias("order"), kind.alias("kind"), b.alias("end"), term.alias("value"))
+        return F.struct(b.alias("at"), F.when(score.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, _base (array of spans) and _terms (array of disclosing terms' spans)."""
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_whole"))
     rows = rows.select("_id", "_whole", base_spans(F.col("_whole")).alias("_base"))
-    found = rows.select(
-        "_id", "_base",
-        F.when(F.size("_base") > 0, F.md5(F.encode("_whole", "UTF-8"))).alias("_text"),
-        F.when(F.size("_base") > 0, _contexts(F.col("_whole"), F.col("_base"))).alias("_near"),
-    )
+    key = F.md5(F.encode("_whole", "UTF-8"))
+    found = rows.select("_id", "_base", F.when(F.size("_base") > 0, key).alias("_text"), F.when(F.size("_base") > 0, _entities(F.col("_base"))).alias("_entities"))
     found = persist_cut(found)
     total = found.count()
     # Copies of a text become one row with their number.
-    near = persist_cut(found.filter("_near is not null").groupBy("_text").agg(F.count(F.lit(1)).alias("n"), F.first("_near").alias("_near")))
-    each = near.select("_text", "n", F.explode("_near").alias("c")).select("_text", "n", "c.entity", "c.context", "c.words")
-    entities = each.select("_text", "n", "entity").distinct().groupBy("entity").agg(F.sum("n").alias("n_e"))
-    together = (
-        each.select("_text", "n", "entity", "context", F.explode(F.transform("words", lambda w: w["term"])).alias("term")).distinct()
-        .groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te")).filter(F.col("contexts") >= SUPPORT)
-    )
+    near = persist_cut(found.filter("_text is not null").groupBy("_text").agg(F.count(F.lit(1)).alias("n"), F.first("_entities").alias("_entities")))
+    each = near.select("_text", "n", F.explode("_entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    entities = persist_cut(entities.filter((F.col("texts") >= SUPPORT) & (F.col("n_e") < total)).drop("texts"))
+    # Only texts with an entity that can have evidence are read again.
+    chosen = persist_cut(each.join(entities, "entity").groupBy("_text").agg(F.first("n").alias("n"), F.collect_list("entity").alias("_entities")))
+    wholes = docs.select(whole_text(text_col).alias("_whole")).filter(F.contains("_whole", F.lit("@")) | F.col("_whole").rlike("[0-9]"))
+    wholes = wholes.select(key.alias("_text"), "_whole").groupBy("_text").agg(F.first("_whole").alias("_whole"))
+    if chosen.isEmpty():
+        wholes = wholes.limit(0)
+    read = persist_cut(wholes.join(chosen, "_text"))
+    said = read.select("_text", "n", "_entities", F.explode(_terms(F.col("_whole"))).alias("term")).select("_text", "n", "term", F.explode("_entities").alias("entity"))
+    together = said.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_te")).filter(F.col("contexts") >= SUPPORT)
     together = persist_cut(together)
     texts = docs.select(F.explode(F.array_distinct(_words(whole_text(text_col)))).alias("term"))
     terms = texts.filter(F.length("term") >= LEAST_LETTERS).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     wanted = together.select("term").distinct()
     known = terms.join(wanted, "term")
     ratio = F.log(F.lit(float(max(total, 1))) * F.least("n_te", "n_t", "n_e") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(max(total, 2))) / F.col("n_e"))
-    scored = together.join(known, "term").join(entities, "entity").filter(F.col("n_e") < total).withColumn("disclosure", ratio)
+    scored = together.join(known, "term").join(entities, "entity").withColumn("disclosure", ratio)
     telling = persist_cut(scored.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
-    places = each.select("_text", "entity", F.explode("words").alias("w")).select("_text", "entity", "w.term", "w.start", "w.end").distinct()
-    hit = places.join(telling, ["entity", "term"]).groupBy("_text", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
-    of_text = hit.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("order"), F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("kind"), "end", F.col("term").alias("value")))).alias("_terms"))
-    joined = found.drop("_near").join(of_text, "_text", "left")
+    hit = said.select("_text", "entity", "term").join(telling, ["entity", "term"]).groupBy("_text", "term").agg(F.max("disclosure").alias("disclosure"))
+    scores = hit.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_scores"))
+    of_text = read.join(scores, "_text").select("_text", _term_places(F.col("_whole"), F.col("_scores")).alias("_terms"))
+    joined = found.drop("_entities").join(of_text, "_text", "left")
     # A term within a base span is covered already.
     free = F.filter(F.coalesce("_terms", F.array().cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>")), lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select(F.col("_id").alias(id_col), "_base", free.alias("_terms"))

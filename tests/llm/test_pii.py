@@ -81,6 +81,19 @@ def test_sanitised_texts(spark, corpus):
     assert out[250] == corpus[250] or "@" in corpus[250]
 
 
+def test_terms_are_marked_wherever_they_stand(spark, corpus):
+    """Far from the entity, in a salutation or a signature, and where only some of its documents have them near it."""
+    far = [f"Dear Ravensworth 😀 {corpus[60 + i]} write to r.w@mail.example.com {corpus[100 + i]} yours RAVENSWORTH" for i in range(5)]
+    texts = corpus + far + ["Ravensworth"]
+    got = spans_of(spark, texts)
+    for i in range(len(corpus), len(texts)):
+        marked = [texts[i][t.start : t.end] for t in got[i]._terms if t.value == "ravensworth"]
+        assert marked == ([] if i == len(texts) - 1 else ["Ravensworth", "RAVENSWORTH"])
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.text.lower() for r in pii.sanitise(docs).collect()}
+    assert not any("ravensworth" in out[i] or "@" in out[i] for i in range(len(corpus), len(texts) - 1))
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a@b.cd", None, None), (1, None, "", 1), (1, None, "", 1), (2, "x" * 100_000, "", 2)], SCHEMA)
     assert pii.find(docs).count() == 4 and pii.find(docs.limit(0)).count() == 0
