@@ -15,7 +15,12 @@ kept exactly once. The deviation is counted in slots of the schedule.
 
 Ranks, positions and slots come from one shuffle of narrow rows; the
 schedule (one row for each slot of a period) and the sources (at most
-``MOST_SOURCES``, or an error is raised) are broadcast.
+``MOST_SOURCES``) are broadcast. ``mixed`` takes any number of sources: where
+there are more, those whose weight is worth ``OWN_SLOTS`` slots of a period
+have slots of their own, and the others share one group's. Within the group
+row r of a source of weight w is due at r / w, and rows follow each other by
+that time, so that each source keeps to its weight to within a row.
+Block, release, deadline and slot of the group's rows are then the group's.
 
 Defined cases: a null source is a source of its own; ties (repeated rows)
 are broken by any order within their block; an empty table stays empty.
@@ -23,7 +28,7 @@ are broken by any order within their block; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.ranking import bucket_count, seeded_hash, with_rank
@@ -31,7 +36,10 @@ from claimweave.llm.tables import persist_cut, table
 
 #: Rows of a block, shares of a period, and the power of its size that gives a source's default weight.
 BLOCK_ROWS, PERIOD, TEMPERATURE, SEED = 16, 1000, 0.7, "mix-1"
-MOST_SOURCES = 500
+#: Sources that have slots of their own, at most; where there are more, the slots that a source must be worth.
+MOST_SOURCES, OWN_SLOTS = 500, 10
+#: The group of the other sources; no source has this key.
+OTHERS = "*"
 
 
 def source_key(source_col: str) -> Column:
@@ -70,25 +78,66 @@ def one_period(shares: DataFrame, period: int) -> DataFrame:
     return one.groupBy("_source").agg(F.array_sort(F.collect_list("_slot")).alias("_slots")).select("_source", F.posexplode("_slots").alias("_nth", "_slot"))
 
 
-def schedule(docs: DataFrame, shares: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _ranked(rows: DataFrame, total: int) -> DataFrame:
+    return with_rank(rows, "_source", ["_hash", "_id", "_crc"], bucket_count(total), "_hash")
+
+
+def _grouped_shares(sizes: DataFrame, period: int) -> DataFrame:
+    """As ``tempered_shares``, for many sources: those worth OWN_SLOTS have their whole slots, the group of the others the rest."""
+    weighed = sizes.withColumn("_weight", F.pow(F.col("_size").cast("double"), F.lit(TEMPERATURE)))
+    worth = period / weighed.agg(F.sum("_weight")).first()[0]
+    own = weighed.select("_source", "_size", F.floor(F.col("_weight") * worth).alias("_share")).filter(f"_share >= {OWN_SLOTS}")
+    own = persist_cut(own)
+    taken = own.agg(F.coalesce(F.sum("_share"), F.lit(0))).first()[0]
+    rest = sizes.join(F.broadcast(own.select("_source")), "_source", "left_anti").agg(F.sum("_size").alias("_size"))
+    return own.unionByName(rest.select(F.lit(OTHERS).alias("_source"), "_size", F.lit(period - taken).cast("long").alias("_share")))
+
+
+def _grouped(ranked: DataFrame, shares: DataFrame) -> DataFrame:
+    """Ranked rows of all sources; those of the group have its key, and their rank in it by the time at which they are due."""
+    own = F.broadcast(shares.select("_source"))
+    rest = ranked.join(own, "_source", "left_anti").withColumn("_due", F.col("_rank") / F.pow(F.col("_size").cast("double"), F.lit(TEMPERATURE)))
+    # Sorted by ranges: a row's rank is its place in its partition, after those before.
+    rest = persist_cut(persist_cut(rest.orderBy("_due", "_source", "_rank")).withColumn("_place", F.monotonically_increasing_id()))
+    rest = rest.withColumns({"_part": F.shiftright("_place", 33), "_row": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = rest.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rest = rest.join(F.broadcast(before), "_part").withColumns({"_rank": F.col("_before") + F.col("_row") + 1, "_source": F.lit(OTHERS)})
+    return ranked.join(own, "_source", "left_semi").unionByName(rest.select(*ranked.columns))
+
+
+def mixed(docs: DataFrame, carry: tuple[str, ...] = (), period: int = PERIOD, crc: Column | None = None, **options) -> DataFrame:  # noqa: ANN003
+    """As ``schedule``, for any number of sources; ``carry`` names columns of ``docs`` to pass on."""
+    sizes = persist_cut(docs.groupBy(source_key(options.get("source_col", "source")).alias("_source")).agg(F.count(F.lit(1)).alias("_size")))
+    if sizes.count() <= MOST_SOURCES:
+        return schedule(docs, tempered_shares(sizes, period), period, carry=carry, crc=crc, **options)
+    return schedule(docs, _grouped_shares(sizes, period), period, carry=carry, crc=crc, grouped=True, **options)
+
+
+def schedule(docs: DataFrame, shares: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), crc: Column | None = None, grouped: bool = False) -> DataFrame:
     """id, source, block, release, deadline, slot, position (from 0, gapless) of every row.
 
-    ``shares``: (_source as ``source_key`` gives it, _size, _share), shares adding up to ``period``.
+    ``shares``: (_source as ``source_key`` gives it, _size, _share), shares adding up to ``period``;
+    if ``grouped``, sources that it lacks are in the group ``OTHERS``. ``crc``: the text's checksum, if
+    ``docs`` has it in place of the text.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), source_key(source_col).alias("_source"), F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("_crc")).withColumn("_hash", seeded_hash(seed, "_id"))
+    if crc is None:
+        crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), source_key(source_col).alias("_source"), crc.alias("_crc"), *carry).withColumn("_hash", seeded_hash(seed, "_id"))
     sizes = docs.groupBy(source_key(source_col).alias("_source")).agg(F.count(F.lit(1)).alias("_size"))
     if shares is None:
         sizes = persist_cut(sizes)
         known = sizes.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_size"), F.lit(0)).alias("n")).first()
         if known["k"] > MOST_SOURCES:
-            raise ValueError(f"{known['k']} sources; at most {MOST_SOURCES} can be mixed")
+            raise ValueError(f"{known['k']} sources; at most {MOST_SOURCES} can have slots of their own, mixed() takes any number")
         total = known["n"]
         shares = tempered_shares(sizes, period)
     else:
         total = docs.count()
     shares = persist_cut(shares)  # a row for each source
     slots = persist_cut(one_period(shares, period))  # a row for each slot of a period
-    ranked = with_rank(rows, "_source", ["_hash", "_id", "_crc"], bucket_count(total), "_hash").drop("_size")
+    ranked = _ranked(rows, total)
+    ranked = (_grouped(ranked, shares) if grouped else ranked).drop("_size")
     placed = (
         ranked.join(F.broadcast(shares), "_source")
         .withColumn("_block", F.expr(f"(_rank - 1) div {block_rows}"))
@@ -113,11 +162,12 @@ def schedule(docs: DataFrame, shares: DataFrame | None = None, period: int = PER
         F.expr(f"((_block + 1) * {period} + _share - 1) div _share").cast("long").alias("deadline"),
         (F.col("_cycle") * period + F.col("_slot")).cast("long").alias("slot"),
         (F.col("_before") + (F.col("_rank") - 1) % block_rows).cast("long").alias("position"),
+        *carry,
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schedule(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents"))
 
 
 def ordered(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
@@ -128,7 +178,7 @@ def ordered(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     checksum; repeated rows keep their number.
     """
     id_col = options.get("id_col", "doc_id")
-    places = schedule(docs, **options).groupBy(F.col(id_col).alias("_placed_id")).agg(F.min("position").alias("_position"))
+    places = mixed(docs, **options).groupBy(F.col(id_col).alias("_placed_id")).agg(F.min("position").alias("_position"))
     keyed = docs.join(places, docs[id_col].eqNullSafe(places["_placed_id"]), "left")
     return keyed.orderBy("_position").select(*[docs[c] for c in docs.columns])
 

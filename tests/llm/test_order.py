@@ -117,3 +117,24 @@ def test_mixing_keeps_every_row(spark, docs):
 def test_too_many_sources(spark):
     with pytest.raises(ValueError, match="sources"):
         mixing.schedule(spark.range(600).selectExpr("id as doc_id", "'' as text", "cast(id as string) as source"))
+
+
+def test_any_number_of_sources(spark):
+    """Two large sources and 900 small ones: every row has a place, and each source keeps to its weight."""
+    rows = [(i, "", "big" if i < 3000 else "next" if i < 4500 else f"feed{i % 900}", 0, 0) for i in range(9000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mixed(docs).collect()
+    assert sorted(r.doc_id for r in out) == list(range(9000)) and sorted(r.position for r in out) == list(range(9000))
+    sizes = Counter(r[2] for r in rows)
+    weight = {s: n**mixing.TEMPERATURE for s, n in sizes.items()}
+    place = {}
+    for r in sorted(out, key=lambda r: r.position):
+        place.setdefault("small" if r.source.startswith("feed") else r.source, []).append((r.slot, r.source))
+    for s in ("big", "next"):
+        share = floor(weight[s] / sum(weight.values()) * mixing.PERIOD)
+        assert share >= mixing.OWN_SLOTS and all(abs((k // 16) - slot * share / mixing.PERIOD) <= 1 for k, (slot, _) in enumerate(place[s]))
+    had = Counter()
+    for _, s in place["small"]:
+        had[s] += 1
+        assert had[s] <= min(had[f"feed{i}"] for i in (1, 450, 899)) + 1
+    assert mixing.ordered(docs).count() == 9000
