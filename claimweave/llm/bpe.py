@@ -290,8 +290,8 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens and the digests of the ids and of the bytes that they decode to; encodes and decodes each text once."""
+def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_tokens and the digests of the ids and of the bytes that they decode to, and the columns in ``carry``; encodes and decodes each text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = merges(vocabulary)
@@ -301,10 +301,11 @@ def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 of_bytes.append(hashlib.sha256(decode_ids(ids, coder)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), *batch.columns[2:]], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *carry])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = dict(docs.dtypes)
+    more = "".join(f", `{c}` {kind[c]}" for c in carry)
+    return docs.select(id_col, text_col, *carry).mapInArrow(run, f"`{id_col}` {kind[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def default_vocabulary() -> str:

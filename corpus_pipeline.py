@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimweave.llm import bpe, exact_dedup, mixing, near_dedup, tables, toxicity
 
@@ -34,8 +35,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, as digests, and the digest of what they decode to."""
-    return bpe.digest(docs, bpe.default_vocabulary())
+    """The ids of every document, as digests, the digest of what they decode to, and its position in the mixture.
+
+    Spark reads files in an order of its own. The position depends on the
+    rows alone, so it is worked out here from the same rows, by the same
+    schedule, as the order in which ``mix`` wrote them.
+    """
+    crc = F.crc32(F.encode(tables.whole_text(), "UTF-8"))
+    digests = bpe.digest(docs.withColumn("_crc32", crc), bpe.default_vocabulary(), carry=("source", "_crc32"))
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return mixing.mixed(tables.persist_cut(digests), carry=columns, crc=F.col("_crc32")).select("doc_id", *columns, "position")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact), ("MinHash near-dedup", drop_near), ("mixing", mix), ("BPE", tokenize)]

@@ -7,7 +7,7 @@ import pytest
 from test_near_dedup import brute_force
 
 import corpus_pipeline
-from claimweave.llm import bpe, exact_dedup, toxicity
+from claimweave.llm import bpe, exact_dedup, mixing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +57,15 @@ def test_stages_keep_columns_and_empty_tables(spark, folder):
         assert out.columns == docs.columns and out.count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "MinHash near-dedup", "mixing", "BPE"]
     assert exact_dedup.drop_duplicates(docs).count() < docs.count()
+
+
+def test_mixture_survives_the_reread(spark, folder, tmp_path):
+    """Several files of unequal size, which Spark reads largest first."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    mixed = [tuple(r) for r in corpus_pipeline.mix(spark, docs, folder).collect()]
+    cuts = [0, 5, 100, 120, len(mixed)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        spark.createDataFrame(mixed[a:b], docs.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.tokenize(spark, spark.read.parquet(f"{tmp_path}/mixed"), folder).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == [r[0] for r in mixed]
+    assert {r.doc_id: r.position for r in out} == {r.doc_id: r.position for r in mixing.schedule(docs).collect()}
