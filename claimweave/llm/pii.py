@@ -170,7 +170,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hit = said.select("_text", "entity", "term").join(telling, ["entity", "term"]).groupBy("_text", "term").agg(F.max("disclosure").alias("disclosure"))
     scores = hit.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_scores"))
     of_text = read.join(scores, "_text").select("_text", _term_places(F.col("_whole"), F.col("_scores")).alias("_terms"))
-    joined = found.drop("_entities").join(of_text, "_text", "left")
+    # Rows without spans need no join; they would all have one key in it.
+    rest = found.filter("_text is null").select("_id", "_base", F.lit(None).cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>").alias("_terms"))
+    joined = found.filter("_text is not null").join(of_text, "_text", "left").select("_id", "_base", "_terms").unionByName(rest)
     # A term within a base span is covered already.
     free = F.filter(F.coalesce("_terms", F.array().cast("array<struct<start:int,order:int,kind:string,end:int,value:string>>")), lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select(F.col("_id").alias(id_col), "_base", free.alias("_terms"))
