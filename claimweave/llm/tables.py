@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from claimweave.session import importable_by_workers
 
@@ -16,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable_by_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_workers(rows: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``rows.mapInArrow`` of a function of this package, which is shipped to the workers first."""
+    importable_by_workers(rows.sparkSession)
+    return rows.mapInArrow(function, schema)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: The folder that holds the package.
-ROOT = str(Path(__file__).resolve().parents[1])
+PACKAGE = Path(__file__).resolve().parent
+#: The session whose workers have the package.
+_shipped: list[str] = []
 
 
 def importable_by_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import the package where only the driver's ``sys.path`` has it."""
-    variables = spark.sparkContext.environment
-    paths = [p for p in (variables.get("PYTHONPATH"), os.environ.get("PYTHONPATH")) if p]
-    if ROOT not in os.pathsep.join(paths).split(os.pathsep):
-        variables["PYTHONPATH"] = os.pathsep.join([ROOT, *paths[:1]])
+    """Ship the package to the Python workers of every executor, once in a session.
+
+    The archive is written on the driver and served by Spark's own file
+    server, so that executors need no folder in common with the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{PACKAGE.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                out.write(file, file.relative_to(PACKAGE.parent))
+        context.addPyFile(str(archive))
+        _shipped[:] = [context.applicationId]
     return spark
