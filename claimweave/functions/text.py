@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Legal forms that end a company's name.
 SUFFIXES = (
-    "INC INCORPORATED CORP CORPORATION CO COMPANY LTD LIMITED PLC LLC LP SA NV AG SE HOLDINGS HOLDING GROUP "
-    "SPA SRL AB ASA AS OYJ GMBH BV SAS SL PTE PTY KK KGAA AKTIENGESELLSCHAFT"
-).split()
+    "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "PLC", "LLC", "LP", "SA", "NV", "AG", "SE",
+    "HOLDINGS", "HOLDING", "GROUP", "SPA", "SRL", "AB", "ASA", "AS", "OYJ", "GMBH", "BV", "SAS", "SL", "PTE", "PTY", "KK", "KGAA", "AKTIENGESELLSCHAFT",
+)
 
 
 def norm(name: Column) -> Column:
@@ -86,13 +86,31 @@ def date_of(text: Column) -> Column:
     return F.coalesce(F.date_format(rfc, "yyyy-MM-dd"), F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
 
 
+#: Characters from the start of a text within which its header must end.
+HEADER_SCAN = 16_384
+
+
+def _rule(text: Column) -> Column:
+    """Where the rule below a header begins (from 1); null if the text has no header."""
+    first = F.substring_index(text, "\n", 1)
+    inner = F.position(F.lit("\n---\n"), text)
+    last = F.when(F.endswith(text, F.lit("\n---")) & (F.length(text) <= HEADER_SCAN), F.length(text) - 3)
+    return F.when(first.startswith("# ") & F.contains(first, F.lit(":")), F.when((inner > 0) & (inner + 4 <= HEADER_SCAN), inner).otherwise(last))
+
+
 def header_of(text: Column) -> Column:
-    """Map of "# key: value" lines above a line "---"; an empty map if there is no such line."""
-    parts = F.split(text, r"\n---\n", 2)
-    pairs = F.filter(F.split(parts[0], "\n"), lambda x: x.rlike("^# [^:]+:"))
-    return F.when(F.size(parts) == 2, F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, "^# ([^:]+):", 1)), F.trim(F.regexp_extract(x, "^# [^:]+:(.*)$", 1)))))).otherwise(F.create_map().cast("map<string,string>"))
+    """Map of the "# key: value" lines above a line "---"; empty without one.
+
+    Other lines go on with the value above them, and of a repeated key the last counts.
+    """
+    head = F.substring(text, F.lit(1), F.coalesce(_rule(text), F.lit(1)) - 1)
+    lines = F.split(F.regexp_replace(head, r"\s*\n(?!# [^\n]*:)[^\S\n]*", " "), "\n")
+    pairs = F.transform(F.filter(lines, lambda x: x.rlike("^# [^:]*:")), lambda x: F.struct(F.trim(F.regexp_extract(x, "^# ([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(x, "(?s)^# [^:]*:(.*)$", 1)).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
+    return F.when(_rule(text).isNotNull(), F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def body_of(text: Column) -> Column:
-    parts = F.split(text, r"\n---\n", 2)
-    return F.when(F.size(parts) == 2, parts[1]).otherwise(text)
+    """The text below its header, without line ends around it."""
+    rule = _rule(text)
+    return F.btrim(F.when(rule.isNotNull(), F.substring(text, rule + 5, F.length(text))).otherwise(text), F.lit("\n"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import score, text
 
-#: Predicates with one object at a time contain one of these; literals further apart than this conflict.
-SINGLE_VALUED = ("ceo", "cfo", "chair", "headquarter", "incorporated", "parent")
+# A predicate that contains one of these has one object at a time.
+SINGLE_VALUED = ("ceo", "cfo", "chair", "headquarter", "incorporat", "ticker", "parent", "owner")
+#: Literals further apart than this conflict.
 LITERAL_GAP = 0.05
 #: Claims that a source needs to be scored.
 LEAST_CLAIMS = 5
@@ -71,8 +72,8 @@ def contradictions(claims: DataFrame, predicate_map: DataFrame) -> DataFrame:
     """
     some = with_canon(claims.filter("status = 'asserted' and subject_entity is not null"), predicate_map)
     some = some.withColumn("_kind", F.when(F.col("object_entity").isNotNull(), "e").otherwise("s")).withColumn("_object", F.coalesce("object_entity", text.norm(F.coalesce("object_surface", F.lit("")))))
-    some = some.select("claim_id", F.col("subject_entity").alias("_subject"), "predicate_canon", "_kind", "_object", "lineage_id", "observed_at", "valid_from", "valid_to", "literal_value", "literal_currency", "literal_as_of")
-    single = some.filter(score.contains_any(F.col("predicate_canon"), SINGLE_VALUED) & (F.col("_object") != ""))
+    some = some.select("claim_id", F.col("subject_entity").alias("_subject"), "predicate_canon", "_kind", "_object", "lineage_id", "observed_at", "valid_from", "valid_to", "literal_value", "literal_currency", "literal_as_of", score.contains_any(F.col("predicate_canon"), SINGLE_VALUED).alias("_single"))
+    single = some.filter(F.col("_single") & (F.col("_object") != ""))
     literal = some.filter(F.col("literal_value").isNotNull())
     out = []
     for rows, kind, keys, differ in (
@@ -86,37 +87,63 @@ def contradictions(claims: DataFrame, predicate_map: DataFrame) -> DataFrame:
         out.append(pairs.select(
             F.col("a._subject").alias("subject_entity"), F.col("a.predicate_canon").alias("predicate_canon"), F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"), F.lit(kind).alias("kind"),
             (F.col("a.lineage_id") == F.col("b.lineage_id")).alias("same_lineage"), F.col("a.observed_at").alias("observed_a"), F.col("b.observed_at").alias("observed_b"),
+            F.when(~F.col("a._single"), F.to_json(F.struct("a.literal_currency", "a.literal_as_of"))).alias("period"), F.col("a.lineage_id").alias("lineage_a"),
         ))
     objects, literals = out
     return objects.unionByName(literals.join(objects.select("claim_a", "claim_b"), ["claim_a", "claim_b"], "left_anti"))
 
 
-def resolve_contradictions(pairs: DataFrame) -> DataFrame:
-    """Supersede the older claim of each same-lineage pair, in order within a group; a superseded claim enters no later pair.
+def raw_subjects(claims: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(claim_id, raw): what the claim's subject was before merges, from the mention of its surface in its event."""
+    named = mentions.filter("resolved_entity is not null").groupBy("event_id", F.col("surface").alias("subject_surface")).agg(F.min("resolved_entity").alias("_named"))
+    return claims.select("claim_id", "event_id", "subject_surface", "subject_entity").join(named, ["event_id", "subject_surface"], "left").select("claim_id", F.coalesce("_named", "subject_entity").alias("raw"))
 
-    The order inside a (subject, predicate) matters, so each group is handed
-    to one Python call; only its conflicting pairs are, without texts.
+
+def resolve_contradictions(pairs: DataFrame, raw: DataFrame | None = None, watched: DataFrame | None = None, recorded: DataFrame | None = None) -> DataFrame:
+    """State of each pair: in order, the older claim of a pair of one lineage is superseded; a superseded claim enters no later pair.
+
+    ``raw`` (claim_id, raw): pairs whose subjects coincide only by a merge
+    supersede nothing and stay open. ``watched`` (entity_id): open pairs on
+    these subjects raise an alert. ``recorded`` (claim_a, claim_b): pairs of
+    earlier runs are left out.
+
+    Only pairs that may supersede depend on their order, and only on pairs of
+    their own subject, predicate and lineage (of their period too, where the
+    predicate takes many objects). Those small groups are walked in order;
+    every other pair is decided by joins with the claims that went.
     """
+    if recorded is not None:
+        pairs = pairs.join(recorded.select("claim_a", "claim_b"), ["claim_a", "claim_b"], "left_anti")
+    settles = F.col("same_lineage")
+    if raw is not None:
+        for side in "ab":
+            pairs = pairs.join(raw.select(F.col("claim_id").alias(f"claim_{side}"), F.col("raw").alias(f"raw_{side}")), f"claim_{side}", "left")
+        settles = settles & F.col("raw_a").eqNullSafe(F.col("raw_b"))
+    pairs = pairs.withColumn("_settles", F.coalesce(settles, F.lit(False)))
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         gone: set[str] = set()
-        state, kept = [], []
+        out = []
         rows = rows.sort_values(["claim_a", "claim_b"])
         for r in rows.itertuples():
-            if r.claim_a in gone or r.claim_b in gone:
-                state.append("skipped")
-                kept.append(None)
-            elif r.same_lineage:
+            if r.claim_a not in gone and r.claim_b not in gone:
                 newer, older = (r.claim_a, r.claim_b) if (r.observed_a, r.claim_a) > (r.observed_b, r.claim_b) else (r.claim_b, r.claim_a)
                 gone.add(older)
-                state.append("auto_resolved")
-                kept.append(newer)
-            else:
-                state.append("open")
-                kept.append(None)
-        return rows[["subject_entity", "predicate_canon", "claim_a", "claim_b", "kind"]].assign(state=state, kept=kept)
-
-    return pairs.groupBy("subject_entity", "predicate_canon").applyInPandas(settle, "subject_entity string, predicate_canon string, claim_a string, claim_b string, kind string, state string, kept string").filter("state != 'skipped'")
+                out.append((older, newer, r.claim_a, r.claim_b))
+        return pd.DataFrame(out, columns=["older", "newer", "at_a", "at_b"])
+
+    ordered = pairs.filter("_settles").select("subject_entity", "predicate_canon", "lineage_a", "period", "claim_a", "claim_b", "observed_a", "observed_b")
+    went = ordered.groupBy("subject_entity", "predicate_canon", "lineage_a", "period").applyInPandas(settle, "older string, newer string, at_a string, at_b string")
+    settled = went.select(F.col("at_a").alias("claim_a"), F.col("at_b").alias("claim_b"), F.col("newer").alias("kept"))
+    out = pairs.filter("_settles").join(settled, ["claim_a", "claim_b"]).unionByName(pairs.filter("not _settles"), allowMissingColumns=True)
+    at = F.struct("claim_a", "claim_b")
+    for side in "ab":
+        of = went.select(F.col("older").alias(f"claim_{side}"), F.struct(F.col("at_a").alias("claim_a"), F.col("at_b").alias("claim_b")).alias(f"_went_{side}"))
+        out = out.join(of, f"claim_{side}", "left").filter(F.col(f"_went_{side}").isNull() | (F.col(f"_went_{side}") >= at))
+    out = out.withColumn("state", F.when(F.col("_settles"), "auto_resolved").otherwise("open"))
+    if watched is not None:
+        out = out.join(watched.select(F.col("entity_id").alias("subject_entity"), F.lit(True).alias("_watched")).distinct(), "subject_entity", "left").withColumn("alert", (F.col("state") == "open") & F.coalesce("_watched", F.lit(False)))
+    return out.select("subject_entity", "predicate_canon", "claim_a", "claim_b", "kind", "state", "kept", *(["alert"] if watched is not None else []))
 
 
 def reliability(claims: DataFrame, predicate_map: DataFrame) -> DataFrame:

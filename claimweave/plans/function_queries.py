@@ -66,9 +66,9 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("part").select("p_partkey", text.predicate_key(F.concat("p_brand", F.lit(" -- "), "p_name")).alias("key"))
 
 
-@query("fn_snippet", "SELECT doc_id, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 50), least(pos - 1, 50) + 4 + 50) ELSE substr(text, 1, 100) END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'tion') AS pos FROM documents WHERE lang = 'en' AND text IS NOT NULL)")
+@query("fn_snippet", "SELECT doc_id, CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 50), least(pos - 1, 50) + 4 + 50) ELSE substr(text, 1, 100) END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'tion') AS pos FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def _(g: ClaimGraph) -> DataFrame:
-    return g.table("documents").filter("lang = 'en' and text is not null").select("doc_id", text.snippet(F.col("text"), F.lit("tion"), 50).alias("snippet"))
+    return g.table("documents").select("doc_id", text.snippet(F.coalesce("text", F.lit("")), F.lit("tion"), 50).alias("snippet"))
 
 
 @query("fn_context_line", "SELECT event_id, coalesce(title, 'Untitled') || ' — ' || source_id || CASE WHEN published_at IS NOT NULL THEN ', ' || strftime(published_at, '%Y-%m-%d') ELSE '' END AS line FROM event")
@@ -84,12 +84,13 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("events").select("event_id", text.date_of(written).alias("day"))
 
 
-@query("fn_header", "SELECT doc_id, source AS source_of, length(coalesce(text, '')) AS body_chars FROM documents WHERE NOT contains(coalesce(text, ''), chr(10) || '---' || chr(10))")
+@query("fn_header", "SELECT doc_id, coalesce(source, '') AS source_of, 'a: ' || coalesce(lang, '') || ' goes on' AS title_of, length(trim(coalesce(text, ''), chr(10))) AS body_chars FROM documents")
 def _(g: ClaimGraph) -> DataFrame:
     """Documents get a header block here, which is parsed again."""
-    some = g.table("documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).filter(~F.contains("text", F.lit("\n---\n")))
-    written = F.concat(F.lit("# title: a: b\n# source: "), "source", F.lit("\nloose line\n---\n"), "text")
-    return some.select("doc_id", F.try_element_at(text.header_of(written), F.lit("source")).alias("source_of"), F.length(text.body_of(written)).cast("long").alias("body_chars"))
+    some = g.table("documents").select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang", "text")])
+    written = F.concat(F.lit("# source: old\n# title: a: "), "lang", F.lit(" \n\n  goes on\n# source: "), "source", F.lit("\n---\n"), "text")
+    of = lambda key: F.try_element_at(text.header_of(written), F.lit(key)).alias(f"{key}_of")
+    return some.select("doc_id", of("source"), of("title"), F.length(text.body_of(written)).cast("long").alias("body_chars"))
 
 
 @query("fn_half_life_edge", "SELECT DISTINCT predicate, half_life_days FROM edge")
@@ -132,6 +133,6 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("events").select("event_id", F.try_element_at(merged, F.lit("k")).cast("int").alias("k"), F.try_element_at(merged, F.lit("kind")).alias("kind"))
 
 
-@query("fn_document_text", "SELECT doc_id, left(text, 200000) AS body, length(text) AS chars, length(text) > 200000 AS truncated FROM documents WHERE source = 'src1' AND text IS NOT NULL")
+@query("fn_document_text", "SELECT doc_id, left(text, 200000) AS body, length(text) AS chars, length(text) > 200000 AS truncated FROM documents")
 def _(g: ClaimGraph) -> DataFrame:
-    return g.table("documents").filter("source = 'src1' and text is not null").select("doc_id", F.left("text", F.lit(200_000)).alias("body"), F.length("text").cast("long").alias("chars"), (F.length("text") > 200_000).alias("truncated"))
+    return g.table("documents").select("doc_id", F.left("text", F.lit(200_000)).alias("body"), F.length("text").cast("long").alias("chars"), (F.length("text") > 200_000).alias("truncated"))

@@ -43,13 +43,10 @@ def _(g: ClaimGraph) -> DataFrame:
     return edges(g).select("src", "dst", "predicate", F.round(score.edge_relevance(F.col("half_life_days"), F.col("last_evidence_at"), at()), 6).alias("relevance"))
 
 
-@query("confidence_now", f"""SELECT claim_id, round(CASE WHEN predicate_raw = 'owns' THEN confidence ELSE confidence * pow(2.0,
-  -greatest(0.0, (epoch_us(TIMESTAMP '{AT}') - epoch_us(observed_at)) / 86400000000.0) / CASE WHEN predicate_raw = 'reported_revenue' THEN 365 ELSE 540 END) END, 6) AS now FROM claim""")
+@query("confidence_now", f"""SELECT claim_id, round_even(CASE WHEN predicate_raw = 'owns' THEN confidence ELSE confidence * pow(2.0,
+  -greatest(0.0, (epoch_us(TIMESTAMP '{AT}') - epoch_us(observed_at)) / 86400000000.0) / CASE WHEN predicate_raw = 'reported_revenue' THEN 365 ELSE 540 END) END, 2) AS now FROM claim""")
 def _(g: ClaimGraph) -> DataFrame:
-    days = score.claim_half_life(F.col("predicate_raw"))
-    age = F.greatest(F.lit(0.0), score.days_between(F.col("observed_at"), at()))
-    decayed = F.when(days.isNull(), F.col("confidence")).otherwise(F.col("confidence") * F.pow(F.lit(2.0), -age / days))
-    return g.claim.select("claim_id", F.round(decayed, 6).alias("now"))
+    return g.claim.select("claim_id", score.confidence_now(F.col("confidence"), F.col("observed_at"), F.col("predicate_raw"), at()).alias("now"))
 
 
 @query("link_claims", "SELECT claim_id, subject_entity, coalesce(s.b, m.resolved_entity) AS linked_subject FROM claim c JOIN mention m ON m.event_id = c.event_id AND m.surface = c.subject_surface LEFT JOIN same_as s ON s.a = m.resolved_entity WHERE m.resolved_entity IS NOT NULL AND c.subject_entity IS DISTINCT FROM coalesce(s.b, m.resolved_entity)")
@@ -57,10 +54,19 @@ def _(g: ClaimGraph) -> DataFrame:
     return graph.link_claims(g.claim, g.mention, g.same_as)
 
 
-_PAIRS = """--more
-c AS (SELECT *, CASE WHEN object_entity IS NOT NULL THEN 'e' ELSE 's' END AS k, coalesce(object_entity, upper(object_surface), '') AS o FROM canon_claim WHERE status = 'asserted'),
+_VARIED = ("appointed_ceo", "named_cfo", "chairs_board", "headquartered_in", "incorporated_in", "incorporation", "ticker_is", "parent_of", "owner_of", "located_in")
+
+
+def varied(claims: DataFrame) -> DataFrame:
+    """The claims on chief executives spread over predicates with each single-valued keyword, and one without."""
+    nth = F.floor(F.substring("subject_entity", 2, 20).cast("int") / 10) % len(_VARIED)
+    return claims.withColumn("predicate_raw", F.when(F.col("predicate_raw") == "appointed_ceo", F.get(F.array(*map(F.lit, _VARIED)), nth.cast("int"))).otherwise(F.col("predicate_raw")))
+
+
+_PAIRS = f"""--more
+c AS (SELECT * REPLACE (CASE WHEN predicate_raw = 'appointed_ceo' THEN {list(_VARIED)}[1 + CAST(substr(subject_entity, 2) AS INT) // 10 % 10] ELSE predicate_canon END AS predicate_canon), CASE WHEN object_entity IS NOT NULL THEN 'e' ELSE 's' END AS k, coalesce(object_entity, upper(object_surface), '') AS o FROM canon_claim WHERE status = 'asserted'),
 pairs AS (SELECT a.subject_entity, a.predicate_canon, a.claim_id AS claim_a, b.claim_id AS claim_b,
-  CASE WHEN (a.predicate_canon LIKE '%ceo%') AND a.k = b.k AND a.o <> '' AND b.o <> '' AND a.o <> b.o THEN 'object_conflict'
+  CASE WHEN regexp_matches(a.predicate_canon, 'ceo|cfo|chair|headquarter|incorporat|ticker|parent|owner') AND a.k = b.k AND a.o <> '' AND b.o <> '' AND a.o <> b.o THEN 'object_conflict'
        WHEN a.literal_value IS NOT NULL AND b.literal_value IS NOT NULL AND a.literal_currency IS NOT DISTINCT FROM b.literal_currency AND a.literal_as_of IS NOT DISTINCT FROM b.literal_as_of
         AND abs(a.literal_value - b.literal_value) / greatest(abs(a.literal_value), abs(b.literal_value)) > 0.05 THEN 'literal_conflict' END AS kind,
   a.lineage_id = b.lineage_id AS same_lineage, a.observed_at AS observed_a, b.observed_at AS observed_b
@@ -71,26 +77,27 @@ pairs AS (SELECT a.subject_entity, a.predicate_canon, a.claim_id AS claim_a, b.c
 
 @query("contradictions_detect", _PAIRS + "SELECT subject_entity, predicate_canon, claim_a, claim_b, kind, same_lineage FROM pairs WHERE kind IS NOT NULL")
 def _(g: ClaimGraph) -> DataFrame:
-    return graph.contradictions(g.claim, g.predicate_map).drop("observed_a", "observed_b")
+    return graph.contradictions(varied(g.claim), g.predicate_map).select("subject_entity", "predicate_canon", "claim_a", "claim_b", "kind", "same_lineage")
 
 
 @query("contradictions_resolve")
 def _(g: ClaimGraph) -> DataFrame:
     """The greedy order inside a group is beyond SQL; tests compare with a plain loop."""
-    return graph.resolve_contradictions(graph.contradictions(g.claim, g.predicate_map))
+    raw, watched = graph.raw_subjects(g.claim, g.mention), discovery.watched_entities(g.entity, g.watchlist)
+    return graph.resolve_contradictions(graph.contradictions(varied(g.claim), g.predicate_map), raw, watched)
 
 
 @query("contradiction_alerts", _PAIRS + "SELECT subject_entity, count(*) AS conflicts FROM pairs JOIN entity e ON e.entity_id = subject_entity JOIN watchlist w ON w.ticker = e.ticker AND w.active WHERE pairs.kind IS NOT NULL AND NOT same_lineage GROUP BY 1")
 def _(g: ClaimGraph) -> DataFrame:
     watched = discovery.watched_entities(g.entity, g.watchlist).withColumnRenamed("entity_id", "subject_entity")
-    return graph.contradictions(g.claim, g.predicate_map).filter("not same_lineage").join(watched, "subject_entity", "left_semi").groupBy("subject_entity").agg(F.count(F.lit(1)).alias("conflicts"))
+    return graph.contradictions(varied(g.claim), g.predicate_map).filter("not same_lineage").join(watched, "subject_entity", "left_semi").groupBy("subject_entity").agg(F.count(F.lit(1)).alias("conflicts"))
 
 
 @query("unmerge_heal", _PAIRS.replace("a.subject_entity", "a.src").replace("b.subject_entity", "b.src").replace("SELECT a.src,", "SELECT a.src AS subject_entity,") + ", raw AS (SELECT c.claim_id, coalesce(m.resolved_entity, c.subject_entity) AS r FROM claim c LEFT JOIN mention m ON m.event_id = c.event_id AND m.surface = c.subject_surface) "
   "SELECT claim_a, claim_b, x.r AS raw_a, y.r AS raw_b FROM pairs JOIN raw x ON x.claim_id = claim_a JOIN raw y ON y.claim_id = claim_b WHERE kind IS NOT NULL AND x.r IS DISTINCT FROM y.r")
 def _(g: ClaimGraph) -> DataFrame:
     """Conflicts that only exist because subjects were merged."""
-    folded = graph.canonicalize(g.claim, g.same_as, {"subject_entity": "_folded"}).withColumn("subject_entity", F.col("_folded")).drop("_folded")
+    folded = graph.canonicalize(varied(g.claim), g.same_as, {"subject_entity": "_folded"}).withColumn("subject_entity", F.col("_folded")).drop("_folded")
     return graph.heal_unmerge(graph.contradictions(folded, g.predicate_map), g.claim, g.mention)
 
 

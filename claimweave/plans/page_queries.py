@@ -141,11 +141,13 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("conversations").select("conv_id", "turn", F.array_min(offered)["name"].alias("track"))
 
 
-@query("feed_sniff", "SELECT page_id, 'rss' AS kind, 'https://e.example.com/' || page_id || '.xml' AS alternate FROM pages")
+@query("feed_sniff", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'atom' ELSE 'html' END AS kind, 'https://e.example.com/' || page_id || '.xml' AS alternate FROM pages")
 def _(g: ClaimGraph) -> DataFrame:
     """What a fetched body is by its head, and the feed that a page names."""
     page = F.concat(F.lit('<html><head><link rel="alternate" type="application/rss+xml" href="https://e.example.com/'), F.col("page_id").cast("string"), F.lit('.xml"></head>'), "html")
-    head = F.left(F.lit('<?xml version="1.0"?><rss version="2.0">'), F.lit(500))
+    third = F.col("page_id") % 3
+    body = F.when(third == 0, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><link>'), "url")).when(third == 1, F.concat(F.lit('<FEED xmlns="http://www.w3.org/2005/Atom"><id>'), "url")).otherwise(F.regexp_replace("html", "(?i)<(rss|feed)", "<"))
+    head = F.left(body, F.lit(500))
     kind = F.when(head.rlike(r"(?i)<rss\b"), "rss").when(head.rlike(r"(?i)<feed\b"), "atom").otherwise("html")
     return g.table("pages").select("page_id", kind.alias("kind"), F.regexp_extract(page, r'(?i)<link[^>]*type="application/(?:rss|atom)\+xml"[^>]*href="([^"]*)"', 1).alias("alternate"))
 
@@ -168,11 +170,12 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("documents").groupBy(F.col("source").alias("source_type")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
-@query("router_dup", "SELECT page_id FROM pages WHERE regexp_extract(url, '^https?://([^/?#:]*)', 1) IN (SELECT regexp_extract(url, '^https?://([^/?#:]*)', 1) FROM pages WHERE page_id < 20) AND page_id >= 20")
+@query("router_dup", "SELECT page_id FROM (SELECT page_id, min(page_id) OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS first FROM pages) WHERE page_id > first")
 def _(g: ClaimGraph) -> DataFrame:
-    """Pages whose host a live source covers already."""
+    """Pages whose host the source of an earlier page covers already."""
     hosts = g.table("pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#:]*)", 1).alias("host"))
-    return hosts.filter("page_id >= 20").join(hosts.filter("page_id < 20").select("host").distinct(), "host", "left_semi").select("page_id")
+    live = hosts.groupBy("host").agg(F.min("page_id").alias("first"))
+    return hosts.join(live, "host").filter("page_id > first").select("page_id")
 
 
 @query("link_prediction", _DEP + ", d AS (SELECT via, count(*) AS n FROM side GROUP BY 1) SELECT a, b, round(sum(1.0 / ln(1 + n)), 6) AS score FROM shared JOIN d USING (via) GROUP BY 1, 2 ORDER BY score DESC, a, b LIMIT 100")

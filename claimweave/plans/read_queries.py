@@ -315,10 +315,10 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.mention.filter("resolved_entity is null").groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("example")).orderBy(F.col("n").desc(), "surface").limit(20)
 
 
-@query("entity_names", "SELECT event_id, string_agg(coalesce(name, subject_entity), '; ' ORDER BY claim_id) AS names FROM claim LEFT JOIN entity ON entity_id = subject_entity WHERE event_id < 'E2' GROUP BY 1")
+@query("entity_names", "SELECT event_id, string_agg(coalesce(name, subject_entity), '; ' ORDER BY claim_id) AS names FROM claim LEFT JOIN entity ON entity_id = subject_entity GROUP BY 1")
 def _(g: ClaimGraph) -> DataFrame:
     """Names in order, the id where there is none."""
-    named = g.claim.filter("event_id < 'E2'").select("event_id", "claim_id", "subject_entity").join(g.entity.select(F.col("entity_id").alias("subject_entity"), "name"), "subject_entity", "left")
+    named = g.claim.select("event_id", "claim_id", "subject_entity").join(g.entity.select(F.col("entity_id").alias("subject_entity"), "name"), "subject_entity", "left")
     listed = F.array_sort(F.collect_list(F.struct("claim_id", F.coalesce("name", "subject_entity").alias("n"))))
     return named.groupBy("event_id").agg(F.array_join(F.transform(listed, lambda x: x["n"]), "; ").alias("names"))
 
@@ -329,10 +329,10 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("r")).select("user_id", "r.event_type", "r.value")
 
 
-@query("insert_new_only", "SELECT count(*) AS added FROM documents d WHERE d.text NOT IN (SELECT text FROM benchmark) AND d.doc_id >= 100")
+@query("insert_new_only", "SELECT count(*) AS added FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text)")
 def _(g: ClaimGraph) -> DataFrame:
     """On conflict do nothing: incoming rows whose key is known are left out."""
-    return g.table("documents").filter("doc_id >= 100").join(g.table("benchmark").select("text"), "text", "left_anti").agg(F.count(F.lit(1)).alias("added"))
+    return g.table("documents").join(g.table("benchmark").select("text"), "text", "left_anti").agg(F.count(F.lit(1)).alias("added"))
 
 
 @query("lease_next", "SELECT event_id FROM event WHERE status = 'pending' OR (status = 'failed' AND attempts < 3 AND fetched_at < TIMESTAMP '2001-01-01') ORDER BY fetched_at, event_id LIMIT 1")

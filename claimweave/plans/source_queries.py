@@ -18,7 +18,7 @@ def escaped(column):  # noqa: ANN001, ANN201
 def feeds(g: ClaimGraph) -> DataFrame:
     """A feed for each document: an RSS item, an Atom entry, and an item without link."""
     d = g.table("documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    title = escaped(F.trim(F.regexp_replace(F.left("text", F.lit(60)), r"[\x00-\x20\x7f-\xa0]+", " ")))
+    title = escaped(F.trim(F.regexp_replace("text", r"[\x00-\x20\x7f-\xa0]+", " ")))
     xml = F.concat(
         F.lit("<rss><channel><item><title>T "), title, F.lit("</title><link>https://e.example.com/a/"), F.col("doc_id").cast("string"), F.lit("</link><description>short</description><content:encoded><![CDATA[<p>x & y</p>]]></content:encoded></item>"),
         F.lit('<entry><title>Second</title><link rel="alternate" href="https://e.example.com/b/'), F.col("doc_id").cast("string"), F.lit('"/><updated>2024-01-02T00:00:00Z</updated><summary>s &amp;amp; t</summary></entry><item><title>No link</title></item></channel></rss>'),
@@ -26,7 +26,7 @@ def feeds(g: ClaimGraph) -> DataFrame:
     return d.select("doc_id", "source", xml.alias("payload"))
 
 
-_TITLE = "trim(regexp_replace(left(coalesce(text, ''), 60), '[\\x00-\\x20\\x7f-\\x{a0}]+', ' ', 'g'))"
+_TITLE = "trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x20\\x7f-\\x{a0}]+', ' ', 'g'))"
 
 
 @query("src_rss_items", f"SELECT doc_id, rtrim('T ' || {_TITLE}) AS title, 'https://e.example.com/a/' || doc_id AS link, '<p>x & y</p>' AS content FROM documents UNION ALL SELECT doc_id, 'Second', 'https://e.example.com/b/' || doc_id, 's &amp; t' FROM documents")

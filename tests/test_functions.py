@@ -48,6 +48,9 @@ def test_headers(spark):
     rows = ["# title: a: b\n# source: s\n---\nbody\n---\nmore", "no header", "---\nx"]
     assert values(spark, rows, text.header_of) == [{"title": "a: b", "source": "s"}, {}, {}]
     assert values(spark, rows, text.body_of) == ["body\n---\nmore", "no header", "---\nx"]
+    more = ["# k: a\n\n  continued \n# k2:\nb\n# k2: last\n---", "# k: " + "x" * 17_000 + "\n---\nbody", "# k: v\nno rule", "\n# k: v\n---\nb\n"]
+    assert values(spark, more, text.header_of) == [{"k": "a continued", "k2": "last"}, {}, {}, {}]
+    assert values(spark, more, text.body_of) == ["", more[1], more[2], "# k: v\n---\nb"]
 
 
 def test_snippet_and_lines(spark):

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -57,6 +58,53 @@ def test_superseded_claims_enter_no_later_pair(make, pmap):
     assert done == {("1", "2"): "2", ("2", "3"): "3"}
 
 
+def plain_resolution(pairs, raw, recorded):
+    gone, out = set(), {}
+    for p in sorted(pairs, key=lambda p: (p.subject_entity, p.predicate_canon, p.claim_a, p.claim_b)):
+        a, b = p.claim_a, p.claim_b
+        if (a, b) in recorded or a in gone or b in gone:
+            continue
+        if p.same_lineage and raw[a] == raw[b]:
+            older, newer = sorted([(p.observed_a, a), (p.observed_b, b)])
+            gone.add(older[1])
+            out[a, b] = ("auto_resolved", newer[1], False)
+        else:
+            out[a, b] = ("open", None, p.subject_entity == "A")
+    return out
+
+
+def test_resolution_against_a_plain_loop(spark, make, pmap):
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        who = rng.choice("AAB")
+        if i % 2:
+            rows.append(claim(f"{i:03}", who, rng.choice(["owner_of", "ticker_is", "incorporation"]), obj=rng.choice("XYZ"), lineage=rng.choice(["L1", "L2"]), day=rng.randrange(1, 20), value=rng.choice([None, 1.0, 2.0])))
+        else:
+            rows.append(claim(f"{i:03}", who, "revenue", value=float(rng.randrange(90, 130)), currency=rng.choice([None, "USD"]), as_of=rng.choice(["2023", "2024"]), lineage=rng.choice(["L1", "L2"]), day=rng.randrange(1, 20)))
+    raw = {r[0]: rng.choice(["A", "A", "A", "C"]) for r in rows}
+    pairs = graph.contradictions(make(rows), pmap).cache()
+    listed = pairs.collect()
+    recorded = {(p.claim_a, p.claim_b) for p in listed if rng.random() < 0.1}
+    out = graph.resolve_contradictions(
+        pairs, spark.createDataFrame(list(raw.items()), "claim_id string, raw string"), spark.createDataFrame([("A",)], "entity_id string"), spark.createDataFrame(list(recorded), "claim_a string, claim_b string")
+    )
+    done = {(r.claim_a, r.claim_b): (r.state, r.kept, r.alert) for r in out.collect()}
+    assert done == plain_resolution(listed, raw, recorded)
+    assert {s for s, _, _ in done.values()} == {"open", "auto_resolved"} and len(done) < len(listed) - len(recorded)
+
+
+def test_each_single_valued_keyword_conflicts(make, pmap):
+    said = ["appointed_ceo", "named_cfo", "chairs_board", "headquartered_in", "incorporation", "incorporated_in", "ticker_is", "parent_of", "owner_of", "located_in"]
+    rows = [claim(f"{p}{i}", "A", p, obj=x) for p in said for i, x in enumerate("XY")]
+    assert {r.predicate_canon for r in graph.contradictions(make(rows), pmap).collect()} == set(said) - {"located_in"}
+
+
+def test_raw_subjects(spark, make):
+    mentions = spark.createDataFrame([("E1", "surface A", "Q"), ("E2", "surface A", None)], "event_id string, surface string, resolved_entity string")
+    assert {r.claim_id: r.raw for r in graph.raw_subjects(make([claim("1", "A", "owns"), claim("2", "A", "owns")]), mentions).collect()} == {"1": "Q", "2": "A"}
+
+
 def test_reliability(make, pmap):
     rows = [claim(f"s{i}", "A", "supplies", obj=f"X{i}", source="one") for i in range(4)] + [claim(f"t{i}", "A", "supplies", obj=f"X{i}", lineage="L2", source="two") for i in range(4)]
     rows += [claim(f"u{i}", "A", "owns", obj="Q", status="superseded", source="one") for i in range(2)]
