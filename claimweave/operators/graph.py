@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import score, text
+from claimweave.session import cut
 
 # A predicate that contains one of these has one object at a time.
 SINGLE_VALUED = ("ceo", "cfo", "chair", "headquarter", "incorporat", "ticker", "parent", "owner")
@@ -109,7 +112,8 @@ def resolve_contradictions(pairs: DataFrame, raw: DataFrame | None = None, watch
 
     Only pairs that may supersede depend on their order, and only on pairs of
     their own subject, predicate and lineage (of their period too, where the
-    predicate takes many objects). Those small groups are walked in order;
+    predicate takes many objects). Those are walked in sorted order, as they
+    stream by, with no more in memory than the claims of one group that went;
     every other pair is decided by joins with the claims that went.
     """
     if recorded is not None:
@@ -119,21 +123,26 @@ def resolve_contradictions(pairs: DataFrame, raw: DataFrame | None = None, watch
         for side in "ab":
             pairs = pairs.join(raw.select(F.col("claim_id").alias(f"claim_{side}"), F.col("raw").alias(f"raw_{side}")), f"claim_{side}", "left")
         settles = settles & F.col("raw_a").eqNullSafe(F.col("raw_b"))
-    pairs = pairs.withColumn("_settles", F.coalesce(settles, F.lit(False)))
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        gone: set[str] = set()
-        out = []
-        rows = rows.sort_values(["claim_a", "claim_b"])
-        for r in rows.itertuples():
-            if r.claim_a not in gone and r.claim_b not in gone:
-                newer, older = (r.claim_a, r.claim_b) if (r.observed_a, r.claim_a) > (r.observed_b, r.claim_b) else (r.claim_b, r.claim_a)
-                gone.add(older)
-                out.append((older, newer, r.claim_a, r.claim_b))
-        return pd.DataFrame(out, columns=["older", "newer", "at_a", "at_b"])
-
-    ordered = pairs.filter("_settles").select("subject_entity", "predicate_canon", "lineage_a", "period", "claim_a", "claim_b", "observed_a", "observed_b")
-    went = ordered.groupBy("subject_entity", "predicate_canon", "lineage_a", "period").applyInPandas(settle, "older string, newer string, at_a string, at_b string")
+    pairs = cut(pairs.withColumn("_settles", F.coalesce(settles, F.lit(False))))
+
+    group = ["subject_entity", "predicate_canon", "lineage_a", "period"]
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, gone = None, set()  # of the group at hand alone
+        for rows in batches:
+            out = []
+            for *key, a, b, at_a, at_b in rows.itertuples(index=False, name=None):
+                if key != here:
+                    here, gone = key, set()
+                if a not in gone and b not in gone:
+                    newer, older = (a, b) if (at_a, a) > (at_b, b) else (b, a)
+                    gone.add(older)
+                    out.append((older, newer, a, b))
+            yield pd.DataFrame(out, columns=["older", "newer", "at_a", "at_b"])
+
+    ordered = pairs.filter("_settles").select(*group, "claim_a", "claim_b", "observed_a", "observed_b")
+    ordered = ordered.repartition(*group).sortWithinPartitions(*group, "claim_a", "claim_b")
+    went = cut(ordered.mapInPandas(settle, "older string, newer string, at_a string, at_b string"))
     settled = went.select(F.col("at_a").alias("claim_a"), F.col("at_b").alias("claim_b"), F.col("newer").alias("kept"))
     out = pairs.filter("_settles").join(settled, ["claim_a", "claim_b"]).unionByName(pairs.filter("not _settles"), allowMissingColumns=True)
     at = F.struct("claim_a", "claim_b")

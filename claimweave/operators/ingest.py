@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave.functions import score, text
+from claimweave.session import cut
 
 #: Bits in which near-duplicates may differ, and events that are looked back on.
 BITS, RECENT = 3, 2000
@@ -65,7 +66,7 @@ def near_duplicates(events: DataFrame, bits: int = BITS, recent: int = RECENT) -
     positions, not through all pairs: hashes are joined, and each event then
     takes the latest position before its own among the hashes near its own.
     """
-    rows = events.filter("simhash != 0").select("event_id", "position", "simhash")
+    rows = cut(events.select("event_id", "position", "simhash")).filter("simhash != 0")  # the sketch is costly and used five times
     # Blocks of ``recent`` positions: a partner is in the same block or the one before.
     rows = rows.withColumn("_block", F.expr(f"position div {recent}"))
     band = lambda h: F.posexplode(F.array(*[F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]))

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 #: The session whose workers have the package.
@@ -28,3 +28,12 @@ def importable_by_workers(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _shipped[:] = [context.applicationId]
     return spark
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to the checkpoint folder that the cluster names; below the warehouse only where none is named."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or f"{frame.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return frame.checkpoint()
