@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm.tables import table
+from claimweave.llm.tables import in_workers, table
 
 #: Code points that a task handles at a time, unless one text is longer.
 CHUNK_CHARS = 1 << 20
@@ -274,7 +274,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([c[0].astype(np.int32) for c in coded], pa.list_(pa.int32())), pa.array([c[1].astype(np.int32) for c in coded], pa.list_(pa.int32()))], [id_col, "ids", "piece_offsets"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, piece_offsets array<int>")
+    return in_workers(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>, piece_offsets array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
@@ -287,7 +287,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = dict(encoded.dtypes)[id_col]
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return in_workers(encoded.select(id_col, "ids"), run, f"`{id_col}` {kind}, text string")
 
 
 def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -305,7 +305,7 @@ def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     kind = dict(docs.dtypes)
     more = "".join(f", `{c}` {kind[c]}" for c in carry)
-    return docs.select(id_col, text_col, *carry).mapInArrow(run, f"`{id_col}` {kind[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return in_workers(docs.select(id_col, text_col, *carry), run, f"`{id_col}` {kind[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def default_vocabulary() -> str:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.tables import SPACE_CLASS, has_repeated_ids, table, whole_text
+from claimweave.llm.tables import SPACE_CLASS, has_repeated_ids, table, unused, whole_text
 
 #: Code points of the normalised text that the second refinement hashes.
 PREFIX_CHARS = 64
@@ -75,11 +75,12 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     out = classify(docs, id_col, text_col)
     gone = out.filter(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("n_chars").alias("_gone_chars"))
-    keyed = docs.withColumns({"_row_id": F.col(id_col), "_row_sha": F.sha2(normalised(whole_text(text_col)), 256), "_row_chars": F.length(whole_text(text_col)).cast("long")})
-    on = keyed["_row_id"].eqNullSafe(gone["_gone_id"]) & (keyed["_row_sha"] == gone["_gone_sha"]) & (keyed["_row_chars"] == gone["_gone_chars"])
+    row_id, row_sha, row_chars = unused(docs, "_row_id", "_row_sha", "_row_chars")
+    keyed = docs.withColumns({row_id: F.col(id_col), row_sha: F.sha2(normalised(whole_text(text_col)), 256), row_chars: F.length(whole_text(text_col)).cast("long")})
+    on = keyed[row_id].eqNullSafe(gone["_gone_id"]) & (keyed[row_sha] == gone["_gone_sha"]) & (keyed[row_chars] == gone["_gone_chars"])
     kept = keyed.join(gone, on, "left_anti")
     if has_repeated_ids(docs, id_col):  # only then can a kept row be repeated
-        kept = kept.dropDuplicates(["_row_id", "_row_sha", "_row_chars"])
+        kept = kept.dropDuplicates([row_id, row_sha, row_chars])
     return kept.select(*docs.columns)
 
 

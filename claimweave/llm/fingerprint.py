@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.tables import table, whole_text
+from claimweave.llm.tables import in_workers, table, whole_text
 
 #: Parts of a sketch, and cells of a part for each paragraph.
 PARTS, CELLS_EACH = 3, 0.75
@@ -191,7 +191,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             all_of = [_Version(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v.keys) for v in all_of], pa.int64()), pa.array([as_string(v.cells) for v in all_of], pa.string())], [id_col, "n_paragraphs", "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_paragraphs long, fingerprint string")
+    return in_workers(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_paragraphs long, fingerprint string")
 
 
 _RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -239,7 +239,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return dealt.mapInArrow(run, f"`{id_col}` {kind}, {_RESULT}")
+    return in_workers(dealt, run, f"`{id_col}` {kind}, {_RESULT}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from claimweave.llm import boosting
 from claimweave.llm.sampling import first_by_hash
-from claimweave.llm.tables import table
+from claimweave.llm.tables import in_workers, table
 
 #: Pages whose sentences fill the generated ones, generated pages, and characters of a page that are cut into sentences.
 SAMPLE, GENERATED = 60, 700
@@ -411,7 +411,7 @@ def extract_pages(pages: DataFrame, model: boosting.Trees, id_col: str = "page_i
     rest = [c for c in ("url",) if c in pages.columns]
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *rest))
-    return pages.select(id_col, html_col, *rest).mapInArrow(run, f"{schema}, text string")
+    return in_workers(pages.select(id_col, html_col, *rest), run, f"{schema}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

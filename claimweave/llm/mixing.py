@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.ranking import bucket_count, seeded_hash, with_rank
-from claimweave.llm.tables import persist_cut, table
+from claimweave.llm.tables import persist_cut, table, unused
 
 #: Rows of a block, shares of a period, and the power of its size that gives a source's default weight.
 BLOCK_ROWS, PERIOD, TEMPERATURE, SEED = 16, 1000, 0.7, "mix-1"
@@ -174,13 +174,14 @@ def ordered(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """The rows of ``docs`` with their columns, in the order of the schedule.
 
     Spark sorts by ranges of the position, so that files follow each other
-    in the mixture's order. Ids are matched null-safely and with the text's
-    checksum; repeated rows keep their number.
+    in the mixture's order. Ids are matched null-safely, so rows that share
+    an id stand together at the first of its places; no row is lost.
     """
     id_col = options.get("id_col", "doc_id")
-    places = mixed(docs, **options).groupBy(F.col(id_col).alias("_placed_id")).agg(F.min("position").alias("_position"))
-    keyed = docs.join(places, docs[id_col].eqNullSafe(places["_placed_id"]), "left")
-    return keyed.orderBy("_position").select(*[docs[c] for c in docs.columns])
+    placed_id, position = unused(docs, "_placed_id", "_position")
+    places = mixed(docs, **options).groupBy(F.col(id_col).alias(placed_id)).agg(F.min("position").alias(position))
+    keyed = docs.join(places, docs[id_col].eqNullSafe(places[placed_id]), "left")
+    return keyed.orderBy(position).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = f"""

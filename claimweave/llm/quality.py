@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.sampling import first_by_hash, fold, labelled
-from claimweave.llm.tables import table
+from claimweave.llm.tables import in_workers, table
 
 #: Most rows of each sample.
 POSITIVES, UNLABELLED = 8_000, 12_000
@@ -171,7 +171,7 @@ def _sampled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _collect(texts: DataFrame) -> np.ndarray:
-    rows = texts.mapInArrow(_sampled_features, "x binary").collect()
+    rows = in_workers(texts, _sampled_features, "x binary").collect()
     return np.array([np.frombuffer(r["x"], np.float32) for r in rows], dtype=np.float32)
 
 
@@ -202,7 +202,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             scores = sent.value.score(features(texts)) if sent.value is not None else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores.astype(float))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+    return in_workers(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,13 @@ def persist_cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of ``frame`` has them."""
+    taken = {c.lower() for c in frame.columns}
+    longest = max(map(len, taken), default=0)
+    return [n if n.lower() not in taken else "_" * longest + n for n in names]
+
+
 def has_repeated_ids(frame: DataFrame, id_col: str) -> bool:
     """Whether any id, null included, occurs twice; reads that column only."""
     return not frame.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()

@@ -47,3 +47,10 @@ def test_odd_rows(spark):
     assert exact_dedup.drop_duplicates(docs.limit(0)).count() == exact_dedup.classify(docs.limit(0)).count() == 0
     many = spark.createDataFrame([(3, "b", "z", 5)] * 4, SCHEMA)
     assert exact_dedup.drop_duplicates(many).count() == 1
+
+
+def test_columns_named_like_working_columns_stay(spark):
+    names = ["_row_id", "_ROW_SHA", "_row_chars", "_gone_id"]
+    docs = spark.createDataFrame([(i, t, *[f"{n} {i}" for n in names]) for i, t in ((1, "a"), (2, "a"), (2, "a"), (3, None))], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    out = sorted(map(tuple, exact_dedup.drop_duplicates(docs).collect()), key=str)
+    assert out == [(1, "a", *[f"{n} 1" for n in names]), (3, None, *[f"{n} 3" for n in names])]

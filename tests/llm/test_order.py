@@ -138,3 +138,9 @@ def test_any_number_of_sources(spark):
         had[s] += 1
         assert had[s] <= min(had[f"feed{i}"] for i in (1, 450, 899)) + 1
     assert mixing.ordered(docs).count() == 9000
+
+
+def test_columns_named_like_working_columns_stay(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", f"s{i % 2}", f"keep {i}", i) for i in (*range(20), 3)], "doc_id long, text string, source string, _position string, _placed_id int")
+    out = mixing.ordered(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
