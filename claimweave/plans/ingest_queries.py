@@ -130,7 +130,7 @@ def _(g: ClaimGraph) -> DataFrame:
     return ingest.resolve(g.mention.select("surface"), alias, tickers, registered).select("surface", "tier", "entity")
 
 
-@query("surface_fuzzy")
+@query("surface_fuzzy", "--more\nn AS (SELECT DISTINCT p_name AS p, split_part(p_name, ' ', 1) AS k FROM part) SELECT a.p AS a, b.p AS b, round(1 - levenshtein(a.p, b.p) / greatest(length(a.p), length(b.p)), 6) AS ratio FROM n a JOIN n b ON a.k = b.k AND a.p < b.p WHERE round(1 - levenshtein(a.p, b.p) / greatest(length(a.p), length(b.p)), 6) >= 0.6")
 def _(g: ClaimGraph) -> DataFrame:
     """Near spellings of product names within one first word, by edit distance: blocks are words, sides distinct."""
     names = g.table("part").select("p_name").distinct().withColumn("block", F.split_part("p_name", F.lit(" "), F.lit(1)))
