@@ -95,10 +95,20 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("documents").select("doc_id", payloads.is_preview(F.coalesce("text", F.lit("")), count).alias("preview"))
 
 
-@query("src_article", r"SELECT page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) > 0 AS has_title, contains(html, '<article>') AS has_body FROM pages")
+@query("src_article", r"SELECT page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) > 0 AS has_title, html IS NOT NULL AS read FROM pages")
 def _(g: ClaimGraph) -> DataFrame:
     a = payloads.article(F.col("html"))
-    return g.table("pages").select("page_id", a.alias("a")).select("page_id", (F.length("a.title") > 0).alias("has_title"), (F.length("a.body") >= 0).alias("has_body"))
+    return g.table("pages").select("page_id", a.alias("a")).select("page_id", (F.length("a.title") > 0).alias("has_title"), F.col("a.body").isNotNull().alias("read"))
+
+
+@query("src_article_body", "SELECT doc_id, 'Document ' || doc_id AS title, CASE WHEN length(t) > 40 THEN t ELSE '' END AS body FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS t FROM documents)")
+def _(g: ClaimGraph) -> DataFrame:
+    """The words of each document, written as the long paragraph of a page with a menu and a short caption, and read again."""
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    key = F.col("doc_id").cast("string")
+    page = F.concat(F.lit("<html><head><title>Document "), key, F.lit("</title></head><nav><p>"), words, F.lit('</p></nav><article class="a"><p id="1">'), words, F.lit("</p><p>A caption</p></article><footer><p>"), words, F.lit("</p></footer></html>"))
+    a = payloads.article(page)
+    return g.table("documents").select("doc_id", a.alias("a")).select("doc_id", "a.title", "a.body")
 
 
 @query("src_is_article")
