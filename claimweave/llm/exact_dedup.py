@@ -2,9 +2,11 @@
 
 Rows are grouped by the length of their normalised text; rows whose length
 is shared go on to a hash of a short prefix; rows that share both have
-their full content hashed. Every refinement works on narrow rows (no text
-is shuffled) and joins pre-aggregated group tables, so that a group with a
-third of all rows is counted map-side and AQE may split its join.
+their full content hashed. Refinements work on narrow rows and join
+pre-aggregated group tables, so that a group with a third of all rows is
+counted map-side and AQE may split its join. ``classify`` returns the hash
+of every row, so there the last step hashes all of them where they are
+read; ``drop_duplicates`` fetches and hashes the surviving texts alone.
 
 Defined cases: a null or empty text is the empty text, and all of those
 are one group. A null id sorts after every other id. Rows that repeat the
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.tables import SPACE_CLASS, has_repeated_ids, table, unused, whole_text
+from claimweave.llm.tables import SPACE_CLASS, has_repeated_ids, persist_cut, table, unused, whole_text
 
 #: Code points of the normalised text that the second refinement hashes.
 PREFIX_CHARS = 64
@@ -67,21 +69,37 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _shared_prefixes(rows: DataFrame) -> DataFrame:
+    """The ids of rows whose length, and prefix hash among those of one length, other rows share."""
+    by_length = rows.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_len")
+    by_prefix = rows.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").join(by_length, "_len", "left_semi").select("_len", "_prefix")
+    return rows.join(by_prefix, ["_len", "_prefix"], "left_semi").select(F.col("_id").alias("_candidate")).distinct()
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each group of equal texts, with the columns of ``docs``.
 
-    The texts are shuffled once, by id and hash, which no group makes hot (and
-    once more where ids repeat, to keep one of repeated rows).
+    Lengths and prefix hashes are written once. Only rows that share both
+    have their full content hashed: their texts are fetched by id, which no
+    group makes hot, and so are the rows that stay.
     """
-    out = classify(docs, id_col, text_col)
-    gone = out.filter(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"), F.col("n_chars").alias("_gone_chars"))
+    keys = persist_cut(_signatures(docs, id_col, text_col).select("_id", "_len", "_prefix"))
+    candidates = _shared_prefixes(keys)
+    texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    asked = texts.join(candidates, texts["_id"].eqNullSafe(candidates["_candidate"]), "left_semi")
+    hashed = persist_cut(asked.select("_id", F.length("_text").cast("long").alias("_chars"), F.sha2(normalised(F.col("_text")), 256).alias("_sha")))
+    best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i")))
+    groups = hashed.groupBy("_sha").agg(F.count(F.lit(1)).alias("_n"), best.alias("_best")).filter("_n > 1").select(F.col("_sha").alias("_of"), "_best")
+    stays = F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_chars") == -F.col("_best.c"))
+    gone = hashed.join(groups, F.col("_sha") == F.col("_of")).filter(~stays).select(F.col("_id").alias("_gone_id"), F.col("_sha").alias("_gone_sha"), F.col("_chars").alias("_gone_chars"))
     row_id, row_sha, row_chars = unused(docs, "_row_id", "_row_sha", "_row_chars")
+    if not has_repeated_ids(docs, id_col):
+        keyed = docs.withColumn(row_id, F.col(id_col))
+        return keyed.join(gone, keyed[row_id].eqNullSafe(gone["_gone_id"]), "left_anti").select(*docs.columns)
+    # An id of several rows doesn't tell which of them goes, and a kept row may be repeated.
     keyed = docs.withColumns({row_id: F.col(id_col), row_sha: F.sha2(normalised(whole_text(text_col)), 256), row_chars: F.length(whole_text(text_col)).cast("long")})
     on = keyed[row_id].eqNullSafe(gone["_gone_id"]) & (keyed[row_sha] == gone["_gone_sha"]) & (keyed[row_chars] == gone["_gone_chars"])
-    kept = keyed.join(gone, on, "left_anti")
-    if has_repeated_ids(docs, id_col):  # only then can a kept row be repeated
-        kept = kept.dropDuplicates([row_id, row_sha, row_chars])
-    return kept.select(*docs.columns)
+    return keyed.join(gone, on, "left_anti").dropDuplicates([row_id, row_sha, row_chars]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
