@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.llm.tables import persist_cut
+
 #: Rows that a bucket is meant to hold, and the most buckets of one group.
 BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 16
 
@@ -40,3 +42,29 @@ def with_rank(rows: DataFrame, group: str, order: list[str], buckets: int, hash_
     )
     within = keyed.withColumn("_in_bucket", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
     return within.join(before, [group, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_in_bucket")).drop("_bucket", "_in_bucket", "_before")
+
+
+def placed_in_order(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds ``_part`` and ``_row``: where each row stands once all are sorted by the group and ``order``.
+
+    A range sort cuts a group of any size over as many tasks as its rows
+    need; ``_row`` ascends within a part, and the parts follow each other.
+    The places are written, so that a lost executor can't change them.
+    """
+    at = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id())
+    return persist_cut(at).withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+
+
+def running_before(totals: DataFrame, group: str, value: str) -> Column:
+    """The sum of ``value`` over a group's earlier parts; ``totals`` has one row for each group and part."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def with_position(placed: DataFrame, group: str) -> DataFrame:
+    """Adds ``_pos``, each row's place in its group from 0, and ``_size``, the group's rows, to rows ``placed_in_order``.
+
+    One narrow row for each group and part is ranked; no task holds a group.
+    """
+    starts = placed.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    shifts = starts.select(group, "_part", (running_before(starts, group, "_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(group)).alias("_size"))
+    return placed.join(shifts, [group, "_part"]).withColumn("_pos", F.col("_row") + F.col("_shift")).drop("_shift")
