@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, exact_dedup, fingerprint, html_text, mixing, near_dedup, pii, quality, sharding, toxicity
+from claimweave.llm import bpe, exact_dedup, fingerprint, html_text, merkle, mixing, near_dedup, pii, prefix_trie, quality, sharding, simhash_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": html_text.query,
         "op9_fingerprint": fingerprint.query,
         "op10_near_dedup": near_dedup.query,
+        "op11_merkle": merkle.query,
+        "op12_simhash_dedup": simhash_dedup.query,
+        "op13_prefix_trie": prefix_trie.query,
     }
 
 

@@ -60,11 +60,15 @@ def running_before(totals: DataFrame, group: str, value: str) -> Column:
     return F.coalesce(F.sum(value).over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def with_position(placed: DataFrame, group: str) -> DataFrame:
-    """Adds ``_pos``, each row's place in its group from 0, and ``_size``, the group's rows, to rows ``placed_in_order``.
+def part_shifts(placed: DataFrame, group: str) -> DataFrame:
+    """(group, _part, _shift, _size): what to add to ``_row`` for a row's place in its group, and the group's rows.
 
     One narrow row for each group and part is ranked; no task holds a group.
     """
     starts = placed.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    shifts = starts.select(group, "_part", (running_before(starts, group, "_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(group)).alias("_size"))
-    return placed.join(shifts, [group, "_part"]).withColumn("_pos", F.col("_row") + F.col("_shift")).drop("_shift")
+    return starts.select(group, "_part", (running_before(starts, group, "_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(group)).alias("_size"))
+
+
+def with_position(placed: DataFrame, group: str) -> DataFrame:
+    """Adds ``_pos``, each row's place in its group from 0, and ``_size``, the group's rows, to rows ``placed_in_order``."""
+    return placed.join(part_shifts(placed, group), [group, "_part"]).withColumn("_pos", F.col("_row") + F.col("_shift")).drop("_shift")
