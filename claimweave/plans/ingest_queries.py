@@ -118,7 +118,7 @@ def _(g: ClaimGraph) -> DataFrame:
     return ingest.triage(g.event, g.watchlist)
 
 
-@query("er_resolve", "SELECT 'Supplier ' || s_suppkey AS surface, CASE WHEN s_suppkey % 5 = 1 THEN 'alias' WHEN s_suppkey % 4 = 0 THEN 'name_exact' WHEN s_suppkey % 4 = 1 AND s_suppkey >= 10 THEN 'name_stripped' ELSE 'queue' END AS tier, CASE WHEN s_suppkey % 5 = 1 OR s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_suppkey >= 10) THEN 'S' || s_suppkey END AS entity FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
+@query("er_resolve_surfaces", "SELECT 'Supplier ' || s_suppkey AS surface, CASE WHEN s_suppkey % 5 = 1 THEN 'alias' WHEN s_suppkey % 4 = 0 THEN 'name_exact' WHEN s_suppkey % 4 = 1 AND s_suppkey >= 10 THEN 'name_stripped' ELSE 'queue' END AS tier, CASE WHEN s_suppkey % 5 = 1 OR s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_suppkey >= 10) THEN 'S' || s_suppkey END AS entity FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)")
 def _(g: ClaimGraph) -> DataFrame:
     """Surfaces of mentions against aliases, tickers and registered names, some with a legal form."""
     key = F.col("s_suppkey")

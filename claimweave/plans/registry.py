@@ -12,18 +12,18 @@ from claimweave.sources.claimgraph import VIEWS, ClaimGraph
 _QUERIES: dict[str, Callable[[ClaimGraph], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: The modules that register queries.
-MODULES = ("graph_queries", "read_queries", "ingest_queries", "function_queries", "source_queries", "stream_queries", "page_queries")
+MODULES = ("graph_queries", "read_queries", "ingest_queries", "function_queries", "source_queries", "stream_queries", "page_queries", "resolution_queries")
 
 
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a function of a ClaimGraph; ``sql`` may use the graph's views."""
+def query(name: str, sql: str | None = None, plain: bool = False) -> Callable:
+    """Registers a function of a ClaimGraph; ``sql`` may use the graph's views, unless it is ``plain``."""
 
     def add(function: Callable[[ClaimGraph], DataFrame]) -> Callable[[ClaimGraph], DataFrame]:
         if name in _QUERIES:
             raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = function
         if sql is not None:
-            _SQL[name] = f"WITH {VIEWS}{',' if sql.lstrip().startswith('--more') else ''}\n{sql.replace('--more', '', 1)}"
+            _SQL[name] = sql if plain else f"WITH {VIEWS}{',' if sql.lstrip().startswith('--more') else ''}\n{sql.replace('--more', '', 1)}"
         return function
 
     return add
