@@ -57,16 +57,43 @@ def simhash_md5(value):  # noqa: ANN001, ANN201
     return F.aggregate(weighed, F.lit(0).cast("long"), lambda acc, b: acc + b)
 
 
+def arrival_ranks(rows: DataFrame) -> DataFrame:
+    """``position`` replaced by the row's gapless place in order of arrival, from 0; ties by event.
+
+    Rows are range-sorted and numbered within their parts; only the sizes of the parts are summed in one task.
+    """
+    at = rows.repartitionByRange("position", "event_id").sortWithinPartitions("position", "event_id").withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(at).withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    shifts = sizes.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(F.broadcast(shifts), "_part").withColumn("position", F.col("_row") + F.col("_shift")).select(*rows.columns)
+
+
+def lineages(parents: DataFrame) -> DataFrame:
+    """(event_id, lineage_id) of each (event_id, near_id): the event at which the chain of near_id ends; null ends it.
+
+    Pointers double, so a chain of n copies of copies takes log n joins.
+    """
+    chain = cut(parents.select("event_id", F.coalesce("near_id", "event_id").alias("_to")))
+    while True:
+        ahead = chain.filter("_to != event_id").select(F.col("event_id").alias("_at"), F.col("_to").alias("_next"))
+        step = chain.join(ahead, chain["_to"] == ahead["_at"], "left").select("event_id", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved"))
+        chain = cut(step)
+        if chain.filter("_moved").isEmpty():
+            return chain.select("event_id", F.col("_to").alias("lineage_id"))
+        chain = chain.drop("_moved")
+
+
 def near_duplicates(events: DataFrame, bits: int = BITS, recent: int = RECENT) -> DataFrame:
     """(event_id, near_id): the latest earlier event, of the last ``recent``, within ``bits`` bits of the simhash.
 
     Four 16-bit bands: of two hashes at most three bits apart one band is
     equal, so an equi-join on bands misses none. ``position`` is the order of
-    arrival. Events of one hash are joined through the hash's latest earlier
+    arrival; events without words (simhash 0) and gaps take up no places. Events of one hash are joined through the hash's latest earlier
     positions, not through all pairs: hashes are joined, and each event then
     takes the latest position before its own among the hashes near its own.
     """
-    rows = cut(events.select("event_id", "position", "simhash")).filter("simhash != 0")  # the sketch is costly and used five times
+    rows = arrival_ranks(cut(events.select("event_id", "position", "simhash")).filter("simhash != 0"))  # the sketch is costly and used five times
     # Blocks of ``recent`` positions: a partner is in the same block or the one before.
     rows = rows.withColumn("_block", F.expr(f"position div {recent}"))
     band = lambda h: F.posexplode(F.array(*[F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]))

@@ -46,11 +46,30 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("events").select("event_id", F.bit_count((F.col("event_id") * 2654435761).bitwiseXOR(F.col("user_id") * 40503)).cast("int").alias("distance"))
 
 
-@query("ingest_near_dup", "SELECT a.event_id, max(b.event_id) AS near_id FROM (SELECT event_id, user_id * 131 + (event_id % 3) AS h FROM events) a JOIN (SELECT event_id, user_id * 131 + (event_id % 3) AS h FROM events) b ON b.event_id < a.event_id AND b.event_id >= a.event_id - 2000 AND bit_count(xor(a.h, b.h)) <= 3 AND a.h <> 0 AND b.h <> 0 GROUP BY 1")
+_NEAR = """--more
+h AS (SELECT event_id, user_id * 131 + (event_id % 3) AS h, row_number() OVER (ORDER BY event_id) AS place FROM events WHERE user_id * 131 + (event_id % 3) <> 0),
+near AS (SELECT a.event_id, max(b.event_id) AS near_id FROM h a JOIN h b ON b.place < a.place AND b.place >= a.place - 2000 AND bit_count(xor(a.h, b.h)) <= 3 GROUP BY 1)"""
+
+
+def sketched(g: ClaimGraph) -> DataFrame:
+    """Sketches made of the users of ``events``, which SQL can check."""
+    return g.table("events").select("event_id", F.col("event_id").alias("position"), (F.col("user_id") * 131 + F.col("event_id") % 3).alias("simhash"))
+
+
+@query("ingest_near_dup", _NEAR + "SELECT * FROM near")
 def _(g: ClaimGraph) -> DataFrame:
-    """Near matches among the last 2000, over sketches made of the users of ``events``, which SQL can check."""
-    rows = g.table("events").select("event_id", F.col("event_id").alias("position"), (F.col("user_id") * 131 + F.col("event_id") % 3).alias("simhash"))
-    return ingest.near_duplicates(rows)
+    """Near matches among the last 2000 that have a sketch."""
+    return ingest.near_duplicates(sketched(g))
+
+
+LINEAGES = "--recursive" + _NEAR.replace("--more", "", 1) + ", p AS (SELECT h.event_id, near_id FROM h LEFT JOIN near USING (event_id)), c(event_id, root) AS (SELECT event_id, event_id FROM p WHERE near_id IS NULL UNION ALL SELECT p.event_id, c.root FROM c JOIN p ON p.near_id = c.event_id) SELECT event_id, root AS lineage_id FROM c"
+
+
+@query("near_dup_lineage", LINEAGES)
+def _(g: ClaimGraph) -> DataFrame:
+    """The lineage of every arrival: a near copy joins that of its match, and so on to the first."""
+    rows = sketched(g)
+    return ingest.lineages(rows.filter("simhash != 0").select("event_id").join(ingest.near_duplicates(rows), "event_id", "left"))
 
 
 @query("document_near_dup")

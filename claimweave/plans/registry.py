@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None, plain: bool = False) -> Callable:
             raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = function
         if sql is not None:
-            _SQL[name] = sql if plain else f"WITH {VIEWS}{',' if sql.lstrip().startswith('--more') else ''}\n{sql.replace('--more', '', 1)}"
+            _SQL[name] = sql.replace("--recursive", "WITH RECURSIVE", 1) if plain or sql.startswith("--recursive") else f"WITH {VIEWS}{',' if sql.lstrip().startswith('--more') else ''}\n{sql.replace('--more', '', 1)}"
         return function
 
     return add

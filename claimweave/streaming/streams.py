@@ -2,7 +2,8 @@
 
 Each function takes a streaming frame and returns one; ``drain`` runs it
 over all that is available and leaves the result as Parquet in the
-warehouse. State is bounded by watermarks.
+warehouse. Windows and sessions are dropped behind the watermark; ``first_seen``
+keeps a hash for each distinct text (``stateful.first_seen`` forgets).
 """
 
 from __future__ import annotations
@@ -52,13 +53,18 @@ def triage(events: DataFrame, watchlist: DataFrame) -> DataFrame:
     return scored.join(watched, "ticker", "left").select("event_id", "materiality", (fast & F.coalesce("_w", F.lit(False))).alias("alert"))
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below the warehouse, which all executors share, for a stream's state and output."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams/{uuid.uuid4().hex}"
+
+
 def drain(frame: DataFrame, spark: SparkSession, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there and return what it left.
 
     Batches are written idempotently: each to its own folder, named by its
     number, or as a whole in complete mode.
     """
-    root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams/{uuid.uuid4().hex}"
+    root = fresh_folder(spark)
 
     def put(batch: DataFrame, number: int) -> None:
         rows = each(batch) if each else batch
