@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.plans.registry import query
-from claimweave.sources import payloads
+from claimweave.sources import articles, payloads
 from claimweave.sources.claimgraph import ClaimGraph
 
 
@@ -147,3 +147,47 @@ def _(g: ClaimGraph) -> DataFrame:
     pages = g.table("pages").select("page_id", "url")
     often = pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return pages.join(often, "url", "left").select("page_id", F.when(F.col("page_id") % 4 == 3, "failed").when(F.col("n").isNotNull(), "duplicate").otherwise("done").alias("outcome"))
+
+
+_WORDS = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+@query("src_article_read", f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND t <> '' THEN 'Data ' ELSE 'Page ' END || doc_id AS title, CASE WHEN doc_id % 4 = 0 AND t <> '' THEN source ELSE '' END AS published,
+  CASE WHEN doc_id % 4 = 0 THEN t WHEN length(t) > 40 THEN t || chr(10) || chr(10) || t || ' end' ELSE '' END AS body FROM (SELECT *, {_WORDS} AS t FROM documents)""")
+def _(g: ClaimGraph) -> DataFrame:
+    """Every document's words as a page of one of four make-ups, read as an article: structured data, a site's element, an article element, the element with most prose."""
+    words, key = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " ")), F.col("doc_id").cast("string")
+    two = F.concat(F.lit("<p>"), words, F.lit("<p><i>"), words, F.lit("</i> end</p>"))
+    data = F.to_json(F.create_map(F.lit("@type"), F.lit("NewsArticle"), F.lit("headline"), F.concat(F.lit("Data "), key), F.lit("datePublished"), F.col("source"), F.lit("articleBody"), words))
+    make = F.element_at(F.array(
+        F.concat(F.lit('<script type="application/ld+json">{"@graph":['), data, F.lit("]}</script><p>"), words),
+        F.concat(F.lit("<div><p>"), words, F.lit(' more</div><section data-type="article-body">'), two, F.lit("</section>")),
+        F.concat(F.lit("<aside>"), two, F.lit("</aside><article><div>"), two, F.lit("</div><p>A caption</article>")),
+        F.concat(F.lit("<nav>"), two, two, F.lit("</nav><div><p>A caption</p></div><div>"), two, F.lit("</div>")),
+    ), (F.col("doc_id") % 4).cast("int") + 1)
+    page = F.concat(F.lit("<html><head><title>Page "), key, F.lit("</title></head><body>"), make, F.lit("</body></html>"))
+    return g.table("documents").select("doc_id", articles.article(page, F.lit("https://news.example.com/a")).alias("a")).select("doc_id", "a.*")
+
+
+@query("src_article_pages")
+def _(g: ClaimGraph) -> DataFrame:
+    """The article of every page; tests have golden pages."""
+    return g.table("pages").select("page_id", articles.article(F.col("html"), F.col("url")).alias("a")).select("page_id", "a.*")
+
+
+@query("html_to_text", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat_ws(chr(10) || chr(10), nullif(t, ''), trim('and ' || t)) ELSE concat_ws(chr(10) || chr(10), nullif(t, ''), 'after') END AS text FROM (SELECT *, {_WORDS} AS t FROM documents)")
+def _(g: ClaimGraph) -> DataFrame:
+    """Every document's words as a fragment with paragraphs, or with lines alone, as text again."""
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    marked = F.concat(F.lit("lost<p>"), words, F.lit("<script>no</script></p><p> </p>lost<p>and <b>"), words, F.lit("</b></p>"))
+    lines = F.concat(F.lit("<div> "), words, F.lit(" </div><style>no</style>\n<br>after"))
+    return g.table("documents").select("doc_id", articles.html_text(F.when(F.col("doc_id") % 2 == 0, marked).otherwise(lines)).alias("text"))
+
+
+@query("src_upload")
+def _(g: ClaimGraph) -> DataFrame:
+    """Pages and documents as files that are uploaded, with path and bytes as the binary file source has them, each as the document it becomes."""
+    pages = g.table("pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    notes = g.table("documents").select(F.concat(F.lit("in/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    files = pages.unionByName(notes)
+    return files.select("path", articles.upload(F.col("path"), F.col("content")).alias("doc")).select("path", F.sha2("doc", 256).alias("hash"), F.length("doc").alias("chars"))
