@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
-from claimweave.operators import discovery, graph, ingest
+from claimweave.operators import discovery, graph, ingest, intervals
 from claimweave.plans.registry import query
 from claimweave.sources.claimgraph import ClaimGraph
 
@@ -134,10 +134,15 @@ def _(g: ClaimGraph) -> DataFrame:
 
 @query("interval_overlap", "SELECT a.subject_entity, count(*) AS overlapping FROM claim a JOIN claim b ON a.subject_entity = b.subject_entity AND a.object_entity = b.object_entity AND a.claim_id < b.claim_id WHERE NOT coalesce(a.valid_from > b.valid_to, false) AND NOT coalesce(b.valid_from > a.valid_to, false) GROUP BY 1")
 def _(g: ClaimGraph) -> DataFrame:
-    c = g.claim.select("claim_id", "subject_entity", "object_entity", "valid_from", "valid_to")
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, (F.col("a.subject_entity") == F.col("b.subject_entity")) & (F.col("a.object_entity") == F.col("b.object_entity")) & (F.col("a.claim_id") < F.col("b.claim_id")))
-    return pairs.filter(graph._overlap("a", "b")).groupBy(F.col("a.subject_entity").alias("subject_entity")).agg(F.count(F.lit(1)).alias("overlapping"))
+    """Counted by a sweep over starts and ends: no pair is formed."""
+    counts = intervals.overlap_counts(g.claim.filter("object_entity is not null").select("subject_entity", "object_entity", "valid_from", "valid_to"), ["subject_entity", "object_entity"])
+    return counts.groupBy("subject_entity").agg(F.sum("overlapping").alias("overlapping")).filter("overlapping > 0")
+
+
+@query("interval_pairs", "SELECT a.subject_entity, a.object_entity, a.claim_id AS id_a, b.claim_id AS id_b FROM claim a JOIN claim b ON a.subject_entity = b.subject_entity AND a.object_entity = b.object_entity AND a.claim_id < b.claim_id WHERE NOT coalesce(a.valid_from > b.valid_to, false) AND NOT coalesce(b.valid_from > a.valid_to, false)")
+def _(g: ClaimGraph) -> DataFrame:
+    """Where the pairs themselves are wanted, they are formed in the stretch of time in which they meet."""
+    return intervals.overlap_pairs(g.claim.select("claim_id", "subject_entity", "object_entity", "valid_from", "valid_to"), ["subject_entity", "object_entity"], "claim_id", days=90)
 
 
 # Aggregates ---------------------------------------------------------------
