@@ -53,6 +53,20 @@ def materialize_edges(claims: DataFrame, same_as: DataFrame, predicate_map: Data
     ).withColumn("half_life_days", score.edge_half_life(F.col("predicate")))
 
 
+def link_both(claims: DataFrame, mentions: DataFrame, same_as: DataFrame) -> DataFrame:
+    """(claim_id, subject, object) of claims whose ends change once linked: each to what its surface in the claim's event resolved to, merge-folded.
+
+    Surfaces are unique in an event; of several the least counts. An end whose surface resolved to nothing stays.
+    """
+    one = mentions.filter("resolved_entity is not null").groupBy("event_id", "surface").agg(F.min("resolved_entity").alias("_r"))
+    named = canonicalize(one, same_as, {"_r": "_to"}).select("event_id", "surface", "_to")
+    subjects = named.select("event_id", F.col("surface").alias("subject_surface"), F.col("_to").alias("_s"))
+    objects = named.select("event_id", F.col("surface").alias("object_surface"), F.col("_to").alias("_o"))
+    ends = claims.select("claim_id", "event_id", "subject_surface", "object_surface", "subject_entity", "object_entity").join(subjects, ["event_id", "subject_surface"], "left").join(objects, ["event_id", "object_surface"], "left")
+    linked = ends.select("claim_id", "subject_entity", "object_entity", F.coalesce("_s", "subject_entity").alias("subject"), F.coalesce("_o", "object_entity").alias("object"))
+    return linked.filter(~F.col("subject").eqNullSafe(F.col("subject_entity")) | ~F.col("object").eqNullSafe(F.col("object_entity"))).select("claim_id", "subject", "object")
+
+
 def link_claims(claims: DataFrame, mentions: DataFrame, same_as: DataFrame) -> DataFrame:
     """(claim_id, linked_subject): what the mention of the subject's surface in the claim's event resolved to, merge-folded."""
     resolved = canonicalize(mentions.filter("resolved_entity is not null"), same_as, {"resolved_entity": "linked_subject"})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import score
-from claimweave.operators import discovery, graph
+from claimweave.operators import discovery, graph, merges
 from claimweave.plans.registry import query
 from claimweave.sources.claimgraph import ClaimGraph
 
@@ -236,3 +236,40 @@ def _(g: ClaimGraph) -> DataFrame:
     """Edges of S0 and S9 after their merge is undone."""
     some = g.claim.filter("subject_entity in ('S0', 'S9')")
     return graph.materialize_edges(some, g.same_as.filter("a != 'S9'"), g.predicate_map).select("src", "dst", "predicate", F.size("claim_ids").cast("long").alias("claims"))
+
+
+def merge_requests(g: ClaimGraph) -> DataFrame:
+    """For each ten suppliers a chain of merges; every other family takes the last ones back."""
+    steps = [(1, "merge", 1, 2), (2, "merge", 2, 3), (3, "merge", 3, 4), (4, "merge", 6, 6), (5, "merge", 7, 4), (6, "unmerge", 3, None), (7, "unmerge", 2, None)]
+    step = F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), F.lit(x).alias("x"), F.lit(y).cast("int").alias("y")) for n, kind, x, y in steps]))
+    each = g.table("supplier").filter("s_suppkey % 10 = 0").select("s_suppkey", step.alias("s")).select("s_suppkey", "s.*").filter((F.col("kind") == "merge") | (F.col("s_suppkey") % 20 == 0))
+    name = lambda c: F.concat(F.lit("S"), (F.col("s_suppkey") + F.col(c)).cast("string"))
+    return each.select((F.col("s_suppkey") * 10 + F.col("step")).alias("op"), "kind", name("x").alias("entity"), name("y").alias("into"))
+
+
+@query("merge_state", "SELECT 'S' || (s_suppkey + x) AS a, 'S' || (s_suppkey + y) AS b FROM supplier, (VALUES (true, 1, 2), (true, 7, 4), (false, 1, 4), (false, 2, 4), (false, 3, 4), (false, 7, 4)) AS v(undone, x, y) WHERE s_suppkey % 10 = 0 AND undone = (s_suppkey % 20 = 0)")
+def _(g: ClaimGraph) -> DataFrame:
+    """Who is merged into whom after all requests: chains re-pointed, and unwound one operation at a time."""
+    return merges.current(merges.play(merge_requests(g))).select("a", "b")
+
+
+@query("merge_heal", _PAIRS.replace("a.subject_entity", "a.src").replace("b.subject_entity", "b.src").replace("SELECT a.src,", "SELECT a.src AS subject_entity,") + """, raw AS (SELECT c.claim_id, coalesce(m.resolved_entity, c.subject_entity) AS r FROM claim c LEFT JOIN mention m ON m.event_id = c.event_id AND m.surface = c.subject_surface)
+SELECT claim_a, claim_b, claim_a AS restored FROM pairs JOIN raw x ON x.claim_id = claim_a JOIN raw y ON y.claim_id = claim_b WHERE kind IS NOT NULL AND same_lineage AND x.r IS DISTINCT FROM y.r AND (x.r IN (SELECT a FROM same_as) OR y.r IN (SELECT a FROM same_as))""")
+def _(g: ClaimGraph) -> DataFrame:
+    """Pairs of one lineage that met through a merge, with the claim that comes back when all merges are undone; here the second of a pair was kept."""
+    folded = graph.canonicalize(varied(g.claim), g.same_as, {"subject_entity": "_folded"}).withColumn("subject_entity", F.col("_folded")).drop("_folded")
+    resolved = graph.contradictions(folded, g.predicate_map).filter("same_lineage").select("claim_a", "claim_b", F.col("claim_b").alias("kept"))
+    return merges.heal(resolved, graph.raw_subjects(g.claim, g.mention), g.same_as.select(F.col("a").alias("entity")))
+
+
+_OBJECTS = "--more\npm AS (SELECT event_id, object_surface AS surface, CASE WHEN min(claim_id) LIKE '%7' THEN 'S9' ELSE 'P' || min(length(claim_id)) END AS resolved_entity FROM claim WHERE object_surface IS NOT NULL GROUP BY 1, 2)\n"
+
+
+@query("link_claims_both", _OBJECTS + """SELECT claim_id, subject, object FROM (SELECT claim_id, coalesce(s.b, m.resolved_entity, c.subject_entity) AS subject, coalesce(t.b, n.resolved_entity, c.object_entity) AS object, c.subject_entity AS was_s, c.object_entity AS was_o FROM claim c
+  LEFT JOIN mention m ON m.event_id = c.event_id AND m.surface = c.subject_surface AND m.resolved_entity IS NOT NULL LEFT JOIN same_as s ON s.a = m.resolved_entity
+  LEFT JOIN pm n ON n.event_id = c.event_id AND n.surface = c.object_surface LEFT JOIN same_as t ON t.a = n.resolved_entity) WHERE subject IS DISTINCT FROM was_s OR object IS DISTINCT FROM was_o""")
+def _(g: ClaimGraph) -> DataFrame:
+    """Subjects and objects linked to what the mentions of their surfaces in the claim's event resolved to, merges folded; changed claims only."""
+    named = g.claim.filter("object_surface is not null").groupBy("event_id", F.col("object_surface").alias("surface")).agg(F.min("claim_id").alias("_c"), F.min(F.length("claim_id")).alias("_l"))
+    objects = named.select("event_id", "surface", F.when(F.endswith("_c", F.lit("7")), "S9").otherwise(F.concat(F.lit("P"), F.col("_l").cast("string"))).alias("resolved_entity"))
+    return graph.link_both(g.claim, g.mention.select("event_id", "surface", "resolved_entity").unionByName(objects), g.same_as)
