@@ -89,13 +89,13 @@ def contradictions(claims: DataFrame, predicate_map: DataFrame) -> DataFrame:
     """
     some = with_canon(claims.filter("status = 'asserted' and subject_entity is not null"), predicate_map)
     some = some.withColumn("_kind", F.when(F.col("object_entity").isNotNull(), "e").otherwise("s")).withColumn("_object", F.coalesce("object_entity", text.norm(F.coalesce("object_surface", F.lit("")))))
-    some = some.select("claim_id", F.col("subject_entity").alias("_subject"), "predicate_canon", "_kind", "_object", "lineage_id", "observed_at", "valid_from", "valid_to", "literal_value", "literal_currency", "literal_as_of", score.contains_any(F.col("predicate_canon"), SINGLE_VALUED).alias("_single"))
+    some = some.select("claim_id", F.col("subject_entity").alias("_subject"), "predicate_canon", "_kind", "_object", "lineage_id", "observed_at", "valid_from", "valid_to", "literal_value", "literal_currency", "literal_as_of", "literal_unit", score.contains_any(F.col("predicate_canon"), SINGLE_VALUED).alias("_single"))
     single = some.filter(F.col("_single") & (F.col("_object") != ""))
     literal = some.filter(F.col("literal_value").isNotNull())
     out = []
     for rows, kind, keys, differ in (
         (single, "object_conflict", ["_kind"], F.col("a._object") != F.col("b._object")),
-        (literal, "literal_conflict", ["literal_currency", "literal_as_of"], score.relative_difference(F.col("a.literal_value"), F.col("b.literal_value")) > LITERAL_GAP),
+        (literal, "literal_conflict", ["literal_currency", "literal_as_of", "literal_unit"], score.relative_difference(F.col("a.literal_value"), F.col("b.literal_value")) > LITERAL_GAP),
     ):
         on = (F.col("a._subject") == F.col("b._subject")) & (F.col("a.predicate_canon") == F.col("b.predicate_canon")) & (F.col("a.claim_id") < F.col("b.claim_id"))
         for key in keys:
@@ -104,7 +104,7 @@ def contradictions(claims: DataFrame, predicate_map: DataFrame) -> DataFrame:
         out.append(pairs.select(
             F.col("a._subject").alias("subject_entity"), F.col("a.predicate_canon").alias("predicate_canon"), F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"), F.lit(kind).alias("kind"),
             (F.col("a.lineage_id") == F.col("b.lineage_id")).alias("same_lineage"), F.col("a.observed_at").alias("observed_a"), F.col("b.observed_at").alias("observed_b"),
-            F.when(~F.col("a._single"), F.to_json(F.struct("a.literal_currency", "a.literal_as_of"))).alias("period"), F.col("a.lineage_id").alias("lineage_a"),
+            F.when(~F.col("a._single"), F.to_json(F.struct("a.literal_currency", "a.literal_as_of", "a.literal_unit"))).alias("period"), F.col("a.lineage_id").alias("lineage_a"),
         ))
     objects, literals = out
     return objects.unionByName(literals.join(objects.select("claim_a", "claim_b"), ["claim_a", "claim_b"], "left_anti"))

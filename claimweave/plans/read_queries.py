@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions import text
+from claimweave.functions import open_json, text
 from claimweave.operators import discovery, graph, ingest, intervals
 from claimweave.plans.registry import query
 from claimweave.sources.claimgraph import ClaimGraph
@@ -80,6 +80,31 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).filter("k > 50")
 
 
+_MAPS = "(SELECT event_id, CASE WHEN event_id % 3 = 0 THEN json_object('stance', event_type, 'history', [json_object('from', event_type), json_object(CASE WHEN user_id % 2 = 0 THEN 'refined' ELSE 'seen' END, value)]) WHEN event_id % 3 = 1 THEN json_object(event_type, NULL) ELSE props END AS m FROM events)"
+
+
+def open_maps(g: ClaimGraph) -> DataFrame:
+    """Qualifiers and histories of every event as JSON of no fixed schema."""
+    some = F.to_json(F.struct(F.col("event_type").alias("stance"), F.array(F.to_json(F.struct(F.col("event_type").alias("from"))), F.concat(F.lit('{"'), F.when(F.col("user_id") % 2 == 0, "refined").otherwise("seen"), F.lit('": '), F.col("value").cast("string"), F.lit("}"))).alias("history")))
+    some = F.replace(F.replace(F.replace(some, F.lit('\\"'), F.lit('"')), F.lit('"{'), F.lit("{")), F.lit('}"'), F.lit("}"))
+    key = F.concat(F.lit('{"'), F.col("event_type"), F.lit('": null}'))
+    return g.table("events").select("event_id", open_json.parsed(F.when(F.col("event_id") % 3 == 0, some).when(F.col("event_id") % 3 == 1, key).otherwise(F.col("props"))).alias("m"))
+
+
+@query("json_key_filter", f"SELECT event_id, json_extract_string(m, '$.stance') AS stance FROM {_MAPS} WHERE list_has_any(json_keys(m), ['error', 'k']) OR json_extract_string(m, '$.stance') = 'click'")
+def _(g: ClaimGraph) -> DataFrame:
+    """Maps that have a key, whatever its value, or a field of some value."""
+    m = F.col("m")
+    return open_maps(g).filter(open_json.has_key(m, "error") | open_json.has_key(m, "k") | open_json.equals(m, "$.stance", F.lit("click"))).select("event_id", open_json.field(m, "$.stance").alias("stance"))
+
+
+@query("json_history_filter", f"SELECT event_id FROM {_MAPS} WHERE event_id % 3 = 0 AND NOT list_contains(json_keys(m -> 'history' -> 1), 'refined')")
+def _(g: ClaimGraph) -> DataFrame:
+    """Maps with a history of which no entry says that it was refined."""
+    m = F.col("m")
+    return open_maps(g).filter(open_json.has_key(m, "history") & ~open_json.any_has(m, "refined", "$.history")).select("event_id")
+
+
 @query("null_safe_compare", "SELECT event_id, surface FROM mention WHERE resolved_entity IS DISTINCT FROM 'S1'")
 def _(g: ClaimGraph) -> DataFrame:
     return g.mention.filter(~F.col("resolved_entity").eqNullSafe(F.lit("S1"))).select("event_id", "surface")

@@ -44,7 +44,7 @@ class ClaimGraph:
             F.when(~literal, F.col("p_name")).alias("object_surface"),
             F.when(literal, F.col("l_extendedprice")).alias("literal_value"),
             F.when(literal, F.col("l_returnflag")).alias("literal_currency"),
-            F.when(literal, F.date_format("o_orderdate", "yyyy-MM")).alias("literal_as_of"),
+            F.when(literal, F.date_format("o_orderdate", "yyyy-MM")).alias("literal_as_of"), F.when(literal, F.col("l_linestatus")).alias("literal_unit"),
             text("E", "o_orderkey").alias("event_id"), F.concat(F.lit("L"), (F.col("o_custkey") % 97).cast("string")).alias("lineage_id"),
             F.col("o_orderpriority").alias("source_id"), F.col("o_orderdate").alias("observed_at"), F.col("o_orderdate").alias("valid_from"),
             F.when(F.col("l_shipdate") > F.col("o_orderdate"), F.col("l_shipdate")).alias("valid_to"),
@@ -129,7 +129,7 @@ claim AS (
     CASE WHEN p_type <> 'SMALL' THEN p_name END AS object_surface,
     CASE WHEN p_type = 'SMALL' THEN l_extendedprice END AS literal_value,
     CASE WHEN p_type = 'SMALL' THEN l_returnflag END AS literal_currency,
-    CASE WHEN p_type = 'SMALL' THEN strftime(o_orderdate, '%Y-%m') END AS literal_as_of,
+    CASE WHEN p_type = 'SMALL' THEN strftime(o_orderdate, '%Y-%m') END AS literal_as_of, CASE WHEN p_type = 'SMALL' THEN l_linestatus END AS literal_unit,
     'E' || o_orderkey AS event_id, 'L' || (o_custkey % 97) AS lineage_id, o_orderpriority AS source_id,
     o_orderdate AS observed_at, o_orderdate AS valid_from, CASE WHEN l_shipdate > o_orderdate THEN l_shipdate END AS valid_to,
     round(1 - l_discount - l_tax + 0.0, 4) AS confidence, CASE o_orderstatus WHEN 'P' THEN 'superseded' ELSE 'asserted' END AS status

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from claimweave.operators import discovery, graph
 
-CLAIM = "claim_id string, subject_entity string, subject_surface string, predicate_raw string, object_entity string, object_surface string, literal_value double, literal_currency string, literal_as_of string, event_id string, lineage_id string, source_id string, observed_at timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, confidence double, status string"
+CLAIM = "claim_id string, subject_entity string, subject_surface string, predicate_raw string, object_entity string, object_surface string, literal_value double, literal_currency string, literal_as_of string, literal_unit string, event_id string, lineage_id string, source_id string, observed_at timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, confidence double, status string"
 DAY = datetime(2024, 1, 1)
 
 
-def claim(i, subject, predicate, obj=None, surface=None, value=None, currency=None, as_of=None, lineage="L1", day=1, status="asserted", source="s", vf=None, vt=None):
-    return (i, subject, f"surface {subject}", predicate, obj, surface, value, currency, as_of, f"E{i}", lineage, source, datetime(2024, 1, day), vf, vt, 0.9, status)
+def claim(i, subject, predicate, obj=None, surface=None, value=None, currency=None, as_of=None, unit=None, lineage="L1", day=1, status="asserted", source="s", vf=None, vt=None):
+    return (i, subject, f"surface {subject}", predicate, obj, surface, value, currency, as_of, unit, f"E{i}", lineage, source, datetime(2024, 1, day), vf, vt, 0.9, status)
 
 
 @pytest.fixture
@@ -41,15 +41,16 @@ def test_contradictions(make, pmap):
         claim("a1", "A", "appointed_ceo", obj="X", lineage="L1"), claim("a2", "A", "appointed_ceo", obj="Y", lineage="L2"),
         claim("b1", "B", "revenue", value=100.0, currency="USD", as_of="2024"), claim("b2", "B", "revenue", value=110.0, currency="USD", as_of="2024", lineage="L2"), claim("b3", "B", "revenue", value=103.0, currency="EUR", as_of="2024"),
         claim("c1", "C", "profit", value=100.0), claim("c2", "C", "profit", value=103.0),
+        claim("f1", "F", "holding", value=5e6, unit="shares"), claim("f2", "F", "holding", value=9e6, unit="tons"), claim("f3", "F", "holding", value=9e6, unit="shares", lineage="L2"), claim("f4", "F", "holding", value=5e6),
         claim("d1", "D", "appointed_cfo", surface="Alice Ang", lineage="L9"), claim("d2", "D", "appointed_cfo", surface="Bob Beam", lineage="L9", day=3), claim("d3", "D", "appointed_cfo", surface="alice ang", lineage="L8"), claim("d4", "D", "appointed_cfo", obj="P"),
         claim("e1", "E", "appointed_ceo", obj="X", vt=datetime(2020, 1, 1)), claim("e2", "E", "appointed_ceo", obj="Y", vf=datetime(2021, 1, 1)),
     ]
     pairs = graph.contradictions(make(rows), pmap)
     found = {(r.claim_a, r.claim_b, r.kind) for r in pairs.collect()}
-    assert found == {("a1", "a2", "object_conflict"), ("b1", "b2", "literal_conflict"), ("d1", "d2", "object_conflict"), ("d2", "d3", "object_conflict")}
+    assert found == {("a1", "a2", "object_conflict"), ("b1", "b2", "literal_conflict"), ("f1", "f3", "literal_conflict"), ("d1", "d2", "object_conflict"), ("d2", "d3", "object_conflict")}
     done = {(r.claim_a, r.claim_b): (r.state, r.kept) for r in graph.resolve_contradictions(pairs).collect()}
     # d1 is older than d2 and of its lineage, so it is superseded; d2 against d3 stays open.
-    assert done == {("a1", "a2"): ("open", None), ("b1", "b2"): ("open", None), ("d1", "d2"): ("auto_resolved", "d2"), ("d2", "d3"): ("open", None)}
+    assert done == {("a1", "a2"): ("open", None), ("b1", "b2"): ("open", None), ("f1", "f3"): ("open", None), ("d1", "d2"): ("auto_resolved", "d2"), ("d2", "d3"): ("open", None)}
 
 
 def test_superseded_claims_enter_no_later_pair(make, pmap):
