@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from claimweave.functions import score
 from claimweave.operators import graph, ingest
 from claimweave.plans.registry import query
+from claimweave.sources import artifacts
 from claimweave.sources.claimgraph import ClaimGraph
+from claimweave.streaming import streams
 
 
 def arrivals(g: ClaimGraph) -> DataFrame:
@@ -91,6 +93,17 @@ def _(g: ClaimGraph) -> DataFrame:
     return g.table("documents").select("doc_id", F.concat("source", F.lit("/"), F.left(F.sha2(text, 256), F.lit(2)), F.lit("/"), F.sha2(text, 256), F.lit(".txt")).alias("path"), F.length(F.rtrim(text, F.lit("\n"))).cast("long").alias("chars"))
 
 
+@query("artifact_read", "SELECT uri, CASE WHEN octet_length(encode(t)) > 200 THEN NULL ELSE t END AS text, length(rtrim(t, chr(10))) AS chars, octet_length(encode(t)) > 200 AS partial FROM (SELECT DISTINCT source || '/' || substr(sha256(coalesce(text, '')), 1, 2) || '/' || sha256(coalesce(text, '')) || '.txt' AS uri, coalesce(text, '') AS t FROM documents)")
+def _(g: ClaimGraph) -> DataFrame:
+    """Every document put into the store, twice, and read back with a bound of 200 bytes; the heads of longer ones are left to the tests."""
+    root = f"{streams.fresh_folder(g.spark)}/artifacts"
+    contents = g.table("documents").select(F.col("source").alias("slug"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit(".txt").alias("ext"))
+    for _ in range(2):
+        artifacts.put(contents, root)
+    read = artifacts.read_bounded(artifacts.addressed(contents).select("uri"), root, 200)
+    return read.select("uri", F.when(~F.col("partial"), F.col("text")).alias("text"), "chars", "partial")
+
+
 @query("write_mentions", "SELECT event_id, surface, CASE WHEN bool_or(tag IN ('company', 'security')) THEN 'pending' ELSE 'skipped-v0' END AS state FROM (SELECT 'E' || l_orderkey AS event_id, 'Supplier ' || l_suppkey AS surface, CASE l_linenumber % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'person' ELSE 'place' END AS tag FROM lineitem) GROUP BY 1, 2")
 def _(g: ClaimGraph) -> DataFrame:
     third = F.col("l_linenumber") % 3
