@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from claimweave.llm import sha256
 from claimweave.llm.ranking import placed_in_order, with_position
-from claimweave.llm.tables import in_workers, persist_cut, table
+from claimweave.llm.tables import crc32_sql, in_workers, persist_cut, table
 
 #: Children of a node, levels hashed in one pass, nodes of a chunk.
 ARITY, LEVELS = 2, 8
@@ -306,3 +306,39 @@ def verify(leaves: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(persist_cut(tampered_leaves(table(spark, sf_dir, "documents")))).withColumnRenamed("_id", "doc_id")
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+#: Level by level in recursive terms; a leaf's steps are its siblings with the side they stand on.
+ORACLE = f"""
+WITH RECURSIVE rows0 AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, {_LEAF.format(n='n_chars')} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND {crc32_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_LEAF.format(n='(n_chars + 1)')} ELSE {_LEAF.format(n='n_chars')} END AS now
+  FROM documents
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM rows0),
+tree(g, lvl, pos, digest, n) AS (
+  SELECT g, 0, pos, leaf, n FROM leaves
+  UNION ALL SELECT g, lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, pos // 2
+),
+sub AS (SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lvl, pos, digest, n) AS (
+  SELECT 0, pos, digest, n FROM sub
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, pos // 2
+),
+way AS (
+  SELECT l.g, l.pos, o.lvl, s.digest, s.pos < o.pos AS before FROM leaves l JOIN tree o ON o.g = l.g AND o.n > 1 AND o.pos = l.pos >> o.lvl LEFT JOIN tree s ON s.g = o.g AND s.lvl = o.lvl AND s.pos = xor(o.pos, 1)
+  UNION ALL
+  SELECT l.g, l.pos, 1000 + o.lvl, s.digest, s.pos < o.pos FROM leaves l JOIN sub ON sub.g = l.g JOIN top o ON o.n > 1 AND o.pos = sub.pos >> o.lvl LEFT JOIN top s ON s.lvl = o.lvl AND s.pos = xor(o.pos, 1)
+),
+steps AS (SELECT g, pos, list(CASE WHEN digest IS NULL THEN 'N' WHEN before THEN 'L' || digest ELSE 'R' || digest END ORDER BY lvl) AS s FROM way GROUP BY g, pos),
+folds AS (
+  SELECT l.*, sub.digest AS subroot, (SELECT digest FROM top WHERE top.n = 1) AS root, coalesce(s, []) AS s FROM leaves l JOIN sub ON sub.g = l.g LEFT JOIN steps ON steps.g = l.g AND steps.pos = l.pos
+),
+done AS (
+  SELECT *, list_reduce(list_prepend(now, s), lambda x, y: sha256(CASE left(y, 1) WHEN 'L' THEN substr(y, 2) || x WHEN 'R' THEN x || substr(y, 2) ELSE x END)) AS folded FROM folds
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: substr(x, 2)), '')) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM done
+"""

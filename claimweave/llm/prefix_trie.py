@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.ranking import part_shifts, placed_in_order, running_before
-from claimweave.llm.tables import in_workers, persist_cut, table
+from claimweave.llm.tables import crc32_sql, in_workers, persist_cut, table
 
 #: The conversation that lends its first turns: ids are grouped by so many; fewer turns than this are lent.
 FAMILY, MOST_LENT = 100, 6
@@ -241,3 +241,23 @@ def prefix_nodes(conversations: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+#: Whole prefixes as lists; every node lies on the paths of its ancestors' least members.
+ORACLE = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS p FROM turns),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY 1),
+c AS (SELECT n.conv_id, {crc32_sql('CAST(n.conv_id AS VARCHAR)')} % 6 AS h, least({crc32_sql('CAST(n.conv_id AS VARCHAR)')} % 6, coalesce(b.n, 0)) AS f FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % {FAMILY}),
+r AS (SELECT c.conv_id AS c, p AS d, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % {FAMILY} AND p <= f UNION ALL SELECT c.conv_id, f + p - h, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND p > h),
+m AS (SELECT c, d, length(text) AS len, list([role, text]) OVER (PARTITION BY c ORDER BY d) AS k FROM r UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, any_value(len) AS len FROM m GROUP BY d, k),
+mn AS (SELECT m.c, m.d, node.conv_id FROM m JOIN node ON node.d = m.d AND node.k = m.k),
+up AS (SELECT node.conv_id, node.d, mn.conv_id AS parent, (n_convs - 1) * len AS saved, n_convs FROM node LEFT JOIN mn ON mn.c = node.conv_id AND mn.d = node.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY 1, 2),
+one AS (SELECT up.*, coalesce(kids.n, 0) AS n_children FROM up LEFT JOIN kids USING (conv_id, d)),
+total AS (SELECT mn.conv_id, mn.d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM one JOIN mn ON mn.c = one.conv_id AND mn.d <= one.d GROUP BY 1, 2),
+ends AS (SELECT mn.conv_id, mn.d, string_agg(CAST(mn.c AS VARCHAR), ',' ORDER BY mn.c) AS ids FROM mn JOIN (SELECT c, max(d) AS d FROM m GROUP BY 1) z ON z.c = mn.c AND z.d = mn.d GROUP BY 1, 2)
+SELECT conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM one JOIN total USING (conv_id, d) LEFT JOIN ends USING (conv_id, d)
+"""

@@ -31,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op6_mixing": mixing.ORACLE,
+        "op11_merkle": merkle.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
     }

@@ -53,3 +53,9 @@ def unused(frame: DataFrame, *names: str) -> list[str]:
 def has_repeated_ids(frame: DataFrame, id_col: str) -> bool:
     """Whether any id, null included, occurs twice; reads that column only."""
     return not frame.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text: eight shifts a byte, by the reflected polynomial of the standard."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda a: ascii(a)::BIGINT)), lambda c, b: {bits}), 4294967295)"
