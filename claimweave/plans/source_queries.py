@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.plans.registry import query
-from claimweave.sources import articles, payloads
+from claimweave.sources import articles, filings, listings, payloads
 from claimweave.sources.claimgraph import ClaimGraph
 
 
@@ -191,3 +191,65 @@ def _(g: ClaimGraph) -> DataFrame:
     notes = g.table("documents").select(F.concat(F.lit("in/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     files = pages.unionByName(notes)
     return files.select("path", articles.upload(F.col("path"), F.col("content")).alias("doc")).select("path", F.sha2("doc", 256).alias("hash"), F.length("doc").alias("chars"))
+
+
+_EDGAR = """--more
+f AS (SELECT *, o_custkey % 100 AS cik, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_orderkey % 2 = 0),
+ex AS (SELECT l_orderkey, l_linenumber AS n, min(l_partkey) AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+parts AS (SELECT l_orderkey, string_agg(chr(10) || chr(10) || '---- EXHIBIT e' || n || '.htm ----' || chr(10) || chr(10) || 'Part ' || part, '' ORDER BY n) AS tail FROM ex WHERE r <= 3 GROUP BY 1),
+docs AS (SELECT w.ticker, '0-' || o_orderkey AS accession, s_name || ' 8-K filed ' || strftime(o_orderdate, '%Y-%m-%d') AS title, strftime(o_orderdate, '%Y-%m-%d') AS published, w.sector, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/0' || o_orderkey AS origin,
+  'Order ' || o_orderkey || chr(10) || o_orderpriority || coalesce(tail, '') AS body
+  FROM f JOIN supplier ON s_suppkey = cik JOIN watchlist w ON w.ticker = 'T' || cik AND w.active LEFT JOIN parts ON l_orderkey = o_orderkey WHERE r <= 2 AND o_orderstatus <> 'F')
+"""
+
+
+def edgar(g: ClaimGraph) -> DataFrame:
+    """Orders as filings of the supplier with their customer's number, their returned lines as exhibits; finished ones are known."""
+    key, orders = F.col("o_orderkey").cast("string"), g.table("orders")
+    row = F.struct(-F.unix_micros(F.col("o_orderdate").cast("timestamp")), "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "8-K").otherwise("10-K").alias("form"), F.concat(F.lit("0-"), key).alias("acc"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    gathered = orders.groupBy((F.col("o_custkey") % 100).alias("cik")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    recent = F.struct(F.col("r.form").alias("form"), F.col("r.acc").alias("accessionNumber"), F.col("r.day").alias("filingDate"), F.transform("r", lambda r: F.lit("m.htm")).alias("primaryDocument"), F.transform("r", lambda r: r["form"]).alias("items"))
+    submissions = gathered.select("cik", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("payload"))
+    base = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), (F.col("o_custkey") % 100).cast("string"), F.lit("/0"), key)
+    sheets = g.table("lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part")).join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    name = F.concat(F.lit("e"), F.col("l_linenumber").cast("string"), F.lit(".htm"))
+    line = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("<td>press<td><a href='/Archives/"), name, F.lit("'>"), name, F.lit("</a><td>EX-99."), F.col("l_linenumber").cast("string"), F.lit("</tr>"))
+    main = orders.select(F.concat(base, F.lit("/m.htm")).alias("url"), F.concat(F.lit("<script>no</script><p>Order "), key, F.lit("</p><p>"), "o_orderpriority", F.lit("</p>")).alias("body"))
+    press = sheets.select(F.concat(base, F.lit("/"), name).alias("url"), F.concat(F.lit("<div>Part "), F.col("part").cast("string"), F.lit("</div>")).alias("body"))
+    index = sheets.groupBy("o_orderkey", "o_custkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("rows")).select(F.concat(base, F.lit("/0-"), key, F.lit("-index.htm")).alias("url"), F.concat(F.lit("<table><tr><td>0<td>x<td><a href='m.htm'>m</a><td>8-K</tr>"), "rows", F.lit("</table>")).alias("body"))
+    registrants = g.table("supplier").select(F.col("s_suppkey").alias("cik"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("title"))
+    known = orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("0-"), key).alias("accession"))
+    return filings.documents(filings.new_filings(g.watchlist, registrants, submissions, known), main.unionByName(press).unionByName(index))
+
+
+@query("src_edgar_documents", _EDGAR + "SELECT ticker, accession, title, published, sector, origin, '# title: ' || title || chr(10) || '# source_type: filing' || chr(10) || '# published: ' || published || chr(10) || '# ticker: ' || ticker || chr(10) || '---' || chr(10) || body || chr(10) AS text FROM docs")
+def _(g: ClaimGraph) -> DataFrame:
+    """New current reports of watched companies with their exhibits, under a header each."""
+    return edgar(g).select("ticker", "accession", "title", "published", "sector", "origin", "text")
+
+
+_TITLE = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+@query("src_youtube_entries", f"SELECT doc_id, 'v' || doc_id AS video_id, CASE WHEN doc_id % 3 = 0 THEN 'v' || doc_id ELSE trim({_TITLE} || ' & <more>') END AS title, '2024-01-02' AS published, source || ' & co' AS channel FROM documents")
+def _(g: ClaimGraph) -> DataFrame:
+    """Every document as the entry of a video feed, told by its id or its link, with and without title."""
+    key, words = F.col("doc_id").cast("string"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    told = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<yt:videoId>v"), key, F.lit("</yt:videoId>"))).otherwise(F.concat(F.lit('<link href="https://www.youtube.com/watch?v=v'), key, F.lit('"/>')))
+    title = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<title>"), words, F.lit(" &amp; &lt;more&gt;</title>"))).when(F.col("doc_id") % 3 == 2, F.concat(F.lit("<title><![CDATA["), words, F.lit(" & <more>]]></title>"))).otherwise("")
+    xml = F.concat(F.lit("<feed><title>F</title><entry>"), told, title, F.lit("<published>2024-01-02T03:04:05Z</published><author> <name>"), "source", F.lit(" &amp; co</name></author></entry><entry><title>no id</title></entry></feed>"))
+    return g.table("documents").select("doc_id", F.explode(listings.videos(xml)).alias("v")).select("doc_id", "v.video_id", "v.title", "v.published", "v.channel")
+
+
+@query("src_listing_items", f"""SELECT doc_id, t || ' & co' AS title, 'https://www.wsj.com/' || source || '/' || doc_id AS link, '2024-03-04' AS date, source AS summary, CASE doc_id % 3 WHEN 0 THEN 'id' || doc_id WHEN 1 THEN 'seo' || doc_id ELSE 'https://www.wsj.com/' || source || '/' || doc_id END AS uid
+FROM (SELECT *, {_TITLE} AS t FROM documents) WHERE doc_id % 4 <> 3""")
+def _(g: ClaimGraph) -> DataFrame:
+    """Every document as an article of a listing page, said twice; every fourth is a video, a live page or another site's."""
+    key, words = F.col("doc_id").cast("string"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    host = F.when(F.col("doc_id") % 12 == 3, "https://www.wsj.com/video/").when(F.col("doc_id") % 12 == 7, "https://other.com/wsj.com/").otherwise("https://www.wsj.com/")
+    row = F.struct(
+        F.concat(host, "source", F.lit("/"), key).alias("articleUrl"), F.concat(words, F.lit(" &amp; co")).alias("headline"), (F.col("doc_id") % 12 == 11).alias("isVideo"), F.lit("2024-03-04T05:06:07Z").alias("timestamp"), F.col("source").alias("summary"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("id"), key)).alias("id"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("seo"), key)).alias("seoId"),
+    )
+    page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(F.struct(F.array(row).alias("latestArticles"), F.array(row).alias("authorFeedArticles"), F.array(row).alias("latestVideos")).alias("pageProps")).alias("props"))), F.lit("</script></html>"))
+    return g.table("documents").select("doc_id", F.explode(listings.listed(page)).alias("i")).select("doc_id", "i.*")
