@@ -16,6 +16,13 @@ def _valid(rows: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(F.col("valid_to") >= F.col("valid_from"), F.lit(True)))
 
 
+def overlap_counts_between(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """The same between rows of different ids: what overlaps among the rows of a repeated id is counted too, and taken off."""
+    repeated = rows.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    own = overlap_counts(rows.join(repeated, [*keys, id_col], "left_semi"), [*keys, id_col]).groupBy(*keys).agg(F.sum("overlapping").alias("_own"))
+    return overlap_counts(rows, keys).join(own, keys, "left").withColumn("overlapping", F.col("overlapping") - F.coalesce("_own", F.lit(0))).drop("_own")
+
+
 def overlap_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, overlapping): how many pairs of a group's intervals overlap, without forming a pair.
 

@@ -35,6 +35,13 @@ def test_against_all_pairs(spark, n, keys):
     assert len(got) == len(set(got)) and set(got) == pairs
 
 
+def test_rows_of_one_id_are_not_paired(spark):
+    rows = [(k or "x", i // 3 if i % 2 else i, s, e) for k, i, s, e in make(200, 9, ["a", "b"])]
+    valid = [r for r in rows if r[2] is None or r[3] is None or r[2] <= r[3]]
+    want = {k: sum(1 for i, a in enumerate(valid) for b in valid[:i] if a[0] == b[0] == k and a[1] != b[1] and not (a[2] and b[3] and a[2] > b[3]) and not (b[2] and a[3] and b[2] > a[3])) for k in "ab"}
+    assert {r.k: r.overlapping for r in intervals.overlap_counts_between(spark.createDataFrame(rows, SCHEMA), ["k"], "id").collect()} == want
+
+
 def test_open_equal_and_no_intervals(spark):
     t = datetime.datetime(2021, 5, 5)
     rows = [("a", 1, None, None), ("a", 2, None, None), ("b", 3, t, t), ("b", 4, t, t), ("b", 5, t, None), ("c", 6, t, t - datetime.timedelta(1)), ("d", 7, None, t)]
