@@ -49,14 +49,11 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _stars_of_tasks(edges: DataFrame) -> DataFrame:
-    """(_a, _b, _changed): each end but the least of those that a task's links connect, beside that least end.
-
-    ``_changed`` is false where the end came with this link alone, and not ``_moved``.
-    """
+    """(_a, _b, _own): each end but the least of those that a task's links connect, beside that least end; whether it was the larger end of a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: dict = {}
-        given: dict = {}
+        larger: set = set()
 
         def find(v):
             while head[v] != v:
@@ -64,24 +61,22 @@ def _stars_of_tasks(edges: DataFrame) -> DataFrame:
                 v = head[v]
             return v
 
-        schema = None
+        kind = None
         for batch in batches:
-            schema = batch.schema
-            for a, b, moved in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            kind = batch.schema.types[0]
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 head.setdefault(a, a)
                 head.setdefault(b, b)
-                given[b] = a if not moved and given.get(b, a) == a else None
+                larger.add(b)
                 low, high = sorted((find(a), find(b)))
                 head[high] = low
         ends = [v for v in head if head[v] != v]
         for at in range(0, len(ends), BATCH):
             some = ends[at : at + BATCH]
-            least = [find(v) for v in some]
-            changed = [given.get(v) != low for v, low in zip(some, least, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(least, schema.types[0]), pa.array(some, schema.types[1]), pa.array(changed, pa.bool_())], ["_a", "_b", "_changed"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(find, some), kind), pa.array(some, kind), pa.array([v in larger for v in some], pa.bool_())], ["_a", "_b", "_own"])
 
     kind = dict(edges.dtypes)["_a"]
-    return in_workers(edges.select("_a", "_b", "_moved"), run, f"_a {kind}, _b {kind}, _changed boolean")
+    return in_workers(edges.select("_a", "_b"), run, f"_a {kind}, _b {kind}, _own boolean")
 
 
 def merged(joined: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -91,17 +86,17 @@ def merged(joined: DataFrame | None, links: DataFrame) -> DataFrame:
     and after they are dealt by their larger end, so a task sends an end once
     and a hub's links do not meet in one task; a star whose centre is an end
     of another star then moves to that one's centre. A task holds the ends of
-    its own links. Rounds end when none changed a link.
+    its own links. Rounds end when every end was dealt to the task that names
+    its centre, so that it has one, and no centre is an end.
     """
     edges = links.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).filter("_a != _b")
     if joined is not None:
         edges = edges.unionByName(joined.filter("_member != _component").select(F.col("_component").alias("_a"), F.col("_member").alias("_b")))
-    edges, settled = edges.withColumn("_moved", F.lit(False)), False
-    while not settled:
-        first = _stars_of_tasks(edges).withColumnRenamed("_changed", "_moved")
-        stars = persist_cut(_stars_of_tasks(first.repartition("_b")))
+    while True:
+        stars = persist_cut(_stars_of_tasks(_stars_of_tasks(edges).select("_a", "_b").repartition("_b")))
         centres = stars.select("_a").distinct().join(stars.select(F.col("_b").alias("_of"), F.col("_a").alias("_up")), F.col("_a") == F.col("_of")).select("_of", "_up")
-        settled = stars.filter("_changed").isEmpty() and centres.isEmpty()
-        edges = stars.join(centres, stars["_a"] == centres["_of"], "left").select(F.coalesce("_up", "_a").alias("_a"), "_b", F.col("_up").isNotNull().alias("_moved"))
+        if stars.filter("not _own").isEmpty() and centres.isEmpty():
+            break
+        edges = stars.join(centres, stars["_a"] == centres["_of"], "left").select(F.coalesce("_up", "_a").alias("_a"), "_b")
     members = stars.select(F.col("_b").alias("_member"), F.col("_a").alias("_component"))
     return members.unionByName(stars.select(F.col("_a").alias("_member"), F.col("_a").alias("_component")).distinct())
