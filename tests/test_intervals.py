@@ -49,3 +49,15 @@ def test_open_equal_and_no_intervals(spark):
     assert {r.k: r.overlapping for r in intervals.overlap_counts(frame, ["k"]).collect()} == {"a": 1, "b": 3, "d": 0}
     assert {(r.id_a, r.id_b) for r in intervals.overlap_pairs(frame, ["k"], "id").collect()} == {(1, 2), (3, 4), (3, 5), (4, 5)}
     assert intervals.overlap_counts(frame.limit(0), ["k"]).count() == intervals.overlap_pairs(frame.limit(0), ["k"], "id").count() == 0
+
+
+def test_only_groups_of_two_or_more_meet(spark, monkeypatch):
+    rows = make(300, 5, ["hot", None, *map(str, range(200))])
+    often = {k for k in {r[0] for r in rows} if sum(1 for r in rows if r[0] == k) > 1}
+    want = sorted(r[1] for r in rows if r[0] in often)
+    assert 0 < len(want) < 300
+    for sent in (intervals.SENT, 0):
+        monkeypatch.setattr(intervals, "SENT", sent)
+        frame = spark.createDataFrame(rows, SCHEMA)
+        assert sorted(r.id for r in intervals.in_groups(frame, ["k"]).collect()) == want
+        assert {(r.k, r.id_a, r.id_b) for r in intervals.overlap_pairs(frame, ["k"], "id", days=7).collect()} == plain(rows)[1]
