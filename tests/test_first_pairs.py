@@ -28,3 +28,16 @@ def test_hypotheses_are_worked_out_once_for_a_query(spark):
     g = ClaimGraph(spark, "/root/testdata/sf0.001")
     assert graph_queries.hypotheses(g) is graph_queries.hypotheses(g)
     assert "Join" not in graph_queries.hypotheses(g)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    rows = [(f"S{i}", "hot") for i in range(60)] + [(f"S{i}", f"P{i % 9}") for i in range(40)] + [("S1", "hot"), ("S7", "lone")]
+    dependency = spark.createDataFrame(rows, "subject_entity string, object_entity string")
+    sides = set(rows)
+    want = sorted((a, b, v) for a, v in sides for b, w in sides if v == w and a < b)
+    monkeypatch.setattr(discovery, "RUN", 7)
+    monkeypatch.setattr(discovery, "TASK_PAIRS", 150)
+    pairs = discovery.shared_pairs(dependency)
+    assert sorted(map(tuple, pairs.collect())) == want
+    assert pairs.rdd.getNumPartitions() == 1 + len(want) // 150
+    assert discovery.shared_pairs(dependency.limit(0)).count() == 0
