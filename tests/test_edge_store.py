@@ -66,3 +66,20 @@ def test_open_maps(spark):
         assert r.deep == (obj.get("a") or {}).get("stance")
         history = obj.get("history")
         assert r.some == (isinstance(history, list) and any(isinstance(x, dict) and "refined" in x for x in history))
+
+
+def test_edges_are_worked_out_once_for_a_rebuild(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(value: str) -> str:
+        seen.add(1)
+        return value
+
+    rows = [claim(i, f"A{i}", "B") for i in range(5)]
+    whole = graph.materialize_edges
+    monkeypatch.setattr(graph, "materialize_edges", lambda *a: whole(*a).withColumn("src", F.udf(counted)("src")))
+    merges, predicates = spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "version int, predicate_raw string, predicate_canon string")
+    edge_store.rebuild(spark.createDataFrame(rows, CLAIM), merges, predicates, str(tmp_path / "edges"), "claim", 8)
+    # The slice and the column may each ask for the name.
+    assert 5 <= seen.value <= 10
+    assert edge_store.stored(spark, str(tmp_path / "edges")).count() == 5
