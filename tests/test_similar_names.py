@@ -56,3 +56,11 @@ def test_names_of_the_tables(spark):
     names = [r[0] for r in named.select(text.norm(F.concat_ws(" ", "p_name", "n_name"))).collect()][:500]
     wanted = [n[:4] + n[4] + n[4:] for n in names[::9]]
     assert pairs(spark, wanted, names) == plain(wanted, names)
+
+
+@pytest.mark.parametrize("sent", [0, similar_names.SENT])
+def test_names_meet_once_whether_sent_or_not(spark, monkeypatch, sent):
+    monkeypatch.setattr(similar_names, "SENT", sent)
+    names = [f"{a} {b} {c}" for a in ("LARGE", "LARGER", "SMALL") for b in ("RING", "RINGS", "BOLT") for c in ("NORTH", "SOUTH")]
+    wanted = [n[:3] + n[4:] for n in names] + names[:3]
+    assert pairs(spark, wanted, names) == plain(wanted, names)
