@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,14 +14,31 @@ LISTS = ("latestArticles", "moreInArticlesInitial", "authorFeedArticles")
 NO_ARTICLE = r"^https?://[^/?#]*/(video|livecoverage)/"
 _ROW = "array<struct<articleUrl:string,headline:string,isVideo:boolean,timestamp:string,summary:string,id:string,seoId:string>>"
 WATCH = "https://www.youtube.com/watch?v="
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+_REFERENCE = r"^(lt|gt|quot|apos|amp|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; the replacement character for what is none."""
+    none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(none, 0xFFFD).otherwise(number)), 8, "0")), "UTF-32")
 
 
 def unescaped(value: Column) -> Column:
-    """The named characters that feeds escape, each once."""
-    for name, character in _ENTITIES:
-        value = F.replace(value, F.lit(name), F.lit(character))
-    return value
+    """The named and numbered characters that feeds escape, each once."""
+
+    def one(part: Column, at: Column) -> Column:
+        name = F.regexp_extract(part, _REFERENCE, 1)
+        number = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("long")
+        character = F.when(F.startswith(name, F.lit("#")), _character(number)).otherwise(F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])[name])
+        return F.when(at == 0, part).when(name == "", F.concat(F.lit("&"), part)).otherwise(F.concat(character, F.substring(part, F.length(name) + 2, F.length(part))))
+
+    return F.array_join(F.transform(F.split(value, "&"), one), "")
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is worked out once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def _inner(block: Column, tag: str) -> Column:
@@ -54,10 +73,10 @@ def listed(html: Column, site: str = "wsj.com") -> Column:
     are left out; a page of another shape gives none.
     """
     data = F.regexp_extract(F.coalesce(html, F.lit("")), '(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
-    each = [F.coalesce(F.from_json(F.get_json_object(data, f"$.props.pageProps.{key}"), _ROW), F.array().cast(_ROW)) for key in LISTS]
+    props = _once(data, lambda d: F.concat(*[F.coalesce(F.from_json(F.get_json_object(d, f"$.props.pageProps.{key}"), _ROW), F.array().cast(_ROW)) for key in LISTS]))
     link = lambda r: F.trim(F.coalesce(r["articleUrl"], F.lit("")))
-    title = lambda r: unescaped(F.trim(F.coalesce(r["headline"], F.lit(""))))
-    good = F.filter(F.concat(*each), lambda r: ~F.coalesce(r["isVideo"], F.lit(False)) & (title(r) != "") & F.endswith(text.host_of(link(r)), F.lit(site)) & ~link(r).rlike(NO_ARTICLE))
-    once = F.get(F.transform(F.array(good), lambda rows: F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, 1, i), lambda q: link(q) == link(r)))), 0)
     uid = lambda r: F.coalesce(F.nullif(r["id"], F.lit("")), F.nullif(r["seoId"], F.lit("")), link(r))
-    return F.transform(once, lambda r: F.struct(title(r).alias("title"), link(r).alias("link"), text.date_of(F.coalesce(r["timestamp"], F.lit(""))).alias("date"), F.trim(F.coalesce(r["summary"], F.lit(""))).alias("summary"), uid(r).alias("uid")))
+    here = lambda r: ~F.coalesce(r["isVideo"], F.lit(False)) & F.endswith(text.host_of(link(r)), F.lit(site)) & ~link(r).rlike(NO_ARTICLE)
+    item = lambda r: F.struct(unescaped(F.trim(F.coalesce(r["headline"], F.lit("")))).alias("title"), link(r).alias("link"), text.date_of(F.coalesce(r["timestamp"], F.lit(""))).alias("date"), F.trim(F.coalesce(r["summary"], F.lit(""))).alias("summary"), uid(r).alias("uid"))
+    good = F.filter(F.transform(F.filter(props, here), item), lambda i: i["title"] != "")
+    return _once(good, lambda items: F.filter(items, lambda i, at: ~F.exists(F.slice(items, 1, at), lambda q: q["link"] == i["link"])))
