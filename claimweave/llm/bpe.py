@@ -33,7 +33,9 @@ from claimweave.llm.tables import in_workers, table
 #: Code points that a task handles at a time, unless one text is longer.
 CHUNK_CHARS = 1 << 20
 #: Pieces in each of the two generations that a worker remembers.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
+#: Rows of a batch that are Python strings at a time.
+ROWS = 256
 #: Pieces longer than this merge with a heap.
 HEAP_BYTES = 96
 
@@ -268,8 +270,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = merges(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
                 coded = list(encode_texts(_texts(some.column(1)), coder))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([c[0].astype(np.int32) for c in coded], pa.list_(pa.int32())), pa.array([c[1].astype(np.int32) for c in coded], pa.list_(pa.int32()))], [id_col, "ids", "piece_offsets"])
 
@@ -296,12 +298,13 @@ def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = merges(vocabulary)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for ids, _ in encode_texts(_texts(batch.column(1)), coder):
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                of_bytes.append(hashlib.sha256(decode_ids(ids, coder)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), *batch.columns[2:]], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *carry])
+            for at in range(0, batch.num_rows, ROWS):
+                some, counts, of_ids, of_bytes = batch.slice(at, ROWS), [], [], []
+                for ids, _ in encode_texts(_texts(some.column(1)), coder):
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    of_bytes.append(hashlib.sha256(decode_ids(ids, coder)).hexdigest())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), *some.columns[2:]], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *carry])
 
     kind = dict(docs.dtypes)
     more = "".join(f", `{c}` {kind[c]}" for c in carry)

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimweave.llm import bpe
@@ -59,3 +60,15 @@ def test_frames(spark, library):
     assert out[4].decoded_sha256 == hashlib.sha256(rows[3][1].encode()).hexdigest()
     assert out[1].ids_sha256 == hashlib.sha256(np.array(library[0].encode_ordinary("it's a test"), "<u4").tobytes()).hexdigest()
     assert bpe.digest(docs.limit(0), path).count() == 0
+
+
+def test_few_rows_of_a_batch_are_strings_at_a_time(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(bpe, "in_workers", lambda rows, function, schema: taken.append(function))
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    bpe.digest(docs, bpe.default_vocabulary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(["some words"] * 999 + [None])], ["doc_id", "text"])
+    out = list(taken[0](iter([batch])))
+    assert max(b.num_rows for b in out) <= 256
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(1000))
+    assert [n for b in out for n in b.column(1).to_pylist()] == [out[0].column(1)[0].as_py()] * 999 + [0]
