@@ -157,3 +157,21 @@ def test_sets_of_large_nodes_meet_in_more_trees(spark):
     assert sum(out[i] == want[i] for i in want) >= 0.995 * len(want)
     large = spark.createDataFrame([(1, bytearray(b"a"), -4), (1, bytearray(b"b"), -4), (1, bytearray(b"b"), 2), (2, bytearray(b"c"), 9)], "tree int, _sig binary, _level int")
     assert {bytes(r._sig) for r in near_dedup._unsure(large, 0.85).collect()} == {b"b", b"c"}
+
+
+def test_nodes_that_stay_large_lose_no_link(spark, monkeypatch):
+    """With small nodes of very few sets, most nodes of the further trees stay large; their sets are settled in blocks."""
+    monkeypatch.setattr(near_dedup, "NODE", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rows = corpus(9, 2, 500, 7)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    out = {r._id: (r._n, r._component) for r in near_dedup.classify(docs, 3, 85).collect()}
+    assert out == brute_force(rows, 3, 85)
+
+
+def test_sets_of_large_nodes_that_overlap_are_one_crowd(spark):
+    large = spark.createDataFrame([(1, bytearray(s)) for s in (b"a", b"b", b"c")] + [(2, bytearray(s)) for s in (b"c", b"d")] + [(3, bytearray(s)) for s in (b"x", b"y")], "_node long, _sig binary")
+    crowds = {}
+    for r in near_dedup._crowds(large).collect():
+        crowds.setdefault(r._node, []).append(bytes(r._sig))
+    assert sorted(map(sorted, crowds.values())) == [[b"a", b"b", b"c", b"d"], [b"x", b"y"]]
